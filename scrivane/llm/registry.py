@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import copies, neardup, overlap
+from scrivane.llm import copies, encode, mix, neardup, overlap, residue, sample
 from scrivane.runtime import table
 
 
@@ -34,8 +34,36 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return copies.copy_counts(table(spark, folder, "resume"))
 
 
+def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return sample.draw(table(spark, folder, "resume"), table(spark, folder, "category_target"))[0]
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return sample.draw(table(spark, folder, "resume"), table(spark, folder, "category_target"))[1]
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.encoded(table(spark, folder, "documents"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mixed(table(spark, folder, "documents"), table(spark, folder, "source_target"))[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mix.mixed(table(spark, folder, "documents"), table(spark, folder, "source_target"))[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents")).select("doc_id")
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.without_residue(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_links, p4_found, p4_counts)}
+    return {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_links, p4_found, p4_counts, p5_sample, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kept)}
 
 
 _KEYED = r"""
@@ -44,9 +72,26 @@ _KEYED = r"""
 """
 
 
+_QUOTA = r"""
+    WITH r AS (SELECT id, min(upper(trim(category, E' \t\r\n'))) AS category FROM resume
+               WHERE id IS NOT NULL AND trim(category, E' \t\r\n') <> '' GROUP BY id),
+    c AS (SELECT category, count(*) AS available FROM r GROUP BY category),
+    t AS (SELECT target_name, upper(trim(category)) AS category, target_share, CAST(min_records AS BIGINT) AS min_records,
+                 CAST(floor(target_share * (SELECT floor(count(*) * 0.2 + 0.5) FROM r) + 0.5) AS BIGINT) AS wish FROM category_target),
+    q AS (SELECT target_name, t.category, target_share, min_records, coalesce(available, 0) AS available, greatest(wish, coalesce(min_records, 0)) AS wanted,
+                 least(greatest(wish, coalesce(min_records, 0)), coalesce(available, 0)) AS quota FROM t LEFT JOIN c ON t.category = c.category)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     keep = f"SELECT id, min(id) OVER (PARTITION BY words) AS keep_id FROM ({_KEYED}) WHERE len(words) >= 30"
     return {
         "p4_found": f"SELECT keep_id, id AS copy_id FROM ({keep}) WHERE keep_id <> id",
+        "p5_sample": _QUOTA + """SELECT q.target_name, r.category, r.id
+            FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY substr(md5('42:' || id), 1, 15), id) AS k FROM r) r
+            JOIN q ON q.category = r.category WHERE k <= quota""",
+        "p5_report": _QUOTA + """SELECT target_name, category, target_share, min_records, available, wanted, quota,
+            round(CAST(quota AS DOUBLE) / CAST(sum(quota) OVER (PARTITION BY target_name) AS DOUBLE), 6) AS actual_share,
+            CASE WHEN available = 0 THEN 'missing' WHEN quota < wanted THEN 'exhausted' ELSE 'met' END AS status FROM q""",
         "p4_counts": f"SELECT keep_id, count(*) AS copies FROM ({keep}) GROUP BY keep_id",
     }
