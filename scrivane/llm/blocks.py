@@ -1,10 +1,10 @@
 """Distributed inverted lists with block skipping.
 
-Each record posts (token, identifier, set size, position, sketch); postings travel packed, one blob per input batch
-and hash bucket. A bucket's lists are sorted by (token, size, position), so that rows of one token with equal size
+Each record posts (token, position); postings travel packed, one blob per input batch and hash bucket, and a record's
+identifier, set size, flag and sketch are in a blob once, however many of its postings are. A bucket's lists are sorted by (token, size, position), so that rows of one token with equal size
 form a block ordered by position. Every posting walks its list with its own pointer: a partner whose size is out of
 range ends the walk, a position out of range skips the rest of the block, and only what is left is compared by the
-128-bit sketch. All pointers of a bucket move together in vector operations.
+256-bit sketch. All pointers of a bucket move together in vector operations.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.words import SKETCH_AGREE
+from scrivane.llm.words import SKETCH_AGREE, SKETCH_BITS
 from scrivane.runtime import shuffle_width
 
-POSTING = np.dtype([("t", "<u4"), ("id", "<i8"), ("n", "<u4"), ("p", "<u4"), ("f", "<u1"), ("s0", "<u8"), ("s1", "<u8")])
+RECORD = np.dtype([("id", "<i8"), ("n", "<u4"), ("f", "<u1"), ("s", "<u8", (SKETCH_BITS // 64,))])
+POSTING = np.dtype([("t", "<u4"), ("p", "<u4"), ("r", "<u4")])
 _FLUSH = 2_000_000
 
 
@@ -62,32 +63,54 @@ class Jaccard:
         return inter * self.den >= self.num * (na + nb - inter)
 
 
-def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """(bucket, blob): all postings of an input batch that belong to one hash bucket of tokens."""
+def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(bucket, blob): all postings of an input batch, with their records, that belong to one hash bucket of tokens."""
     width = shuffle_width(df.sparkSession)
 
     def part(batches):
         for batch in batches:
-            rows = postings_of(batch)
+            records, rows = postings_of(batch)
             if not len(rows):
                 continue
             bucket = (rows["t"] % np.uint32(width)).astype(np.int64)
             rows = rows[np.argsort(bucket, kind="stable")]
             ends = np.cumsum(np.bincount(bucket, minlength=width))
-            data = [(b, rows[(ends[b - 1] if b else 0) : ends[b]].tobytes()) for b in range(width)]
-            data = [x for x in data if x[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in data], pa.int32()), pa.array([x[1] for x in data], pa.large_binary())], ["bucket", "blob"])
+            buckets, blobs = [], []
+            for b in range(width):
+                some = rows[(ends[b - 1] if b else 0) : ends[b]].copy()
+                if len(some):
+                    used, some["r"] = np.unique(some["r"], return_inverse=True)
+                    buckets.append(b)
+                    blobs.append(np.uint32(len(used)).tobytes() + records[used].tobytes() + some.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return df.mapInArrow(part, "bucket int, blob binary")
 
 
-def walk(rows: np.ndarray, sim: Jaccard, by_position: bool, by_flag: bool):
-    """Yield index arrays (i, j) of postings of one token that pass every bound; ``rows`` sorted by (t, n, p)."""
+def load(blobs) -> tuple[np.ndarray, np.ndarray]:
+    """All records and postings of a bucket, postings sorted by (token, set size, position)."""
+    records, rows, seen = [], [], 0
+    for blob in blobs:
+        data = blob.as_py()
+        count = int(np.frombuffer(data, dtype="<u4", count=1)[0])
+        records.append(np.frombuffer(data, dtype=RECORD, count=count, offset=4))
+        some = np.frombuffer(data, dtype=POSTING, offset=4 + count * RECORD.itemsize).copy()
+        some["r"] += seen
+        seen += count
+        rows.append(some)
+    all_records, all_rows = np.concatenate(records), np.concatenate(rows)
+    return all_records, all_rows[np.lexsort((all_rows["p"], all_records["n"][all_rows["r"]], all_rows["t"]))]
+
+
+def walk(records: np.ndarray, rows: np.ndarray, sim: Jaccard, by_position: bool, by_flag: bool):
+    """Yield index arrays (i, j) of postings of one token that pass every bound."""
     count = len(rows)
     if count < 2:
         return
-    t, n, p, f = rows["t"], rows["n"].astype(np.int64), rows["p"].astype(np.int64), rows["f"]
-    s0, s1, ids = np.ascontiguousarray(rows["s0"]), np.ascontiguousarray(rows["s1"]), rows["id"]
+    r = rows["r"].astype(np.int64)
+    t, p = np.ascontiguousarray(rows["t"]), rows["p"].astype(np.int64)
+    n, f, ids = records["n"].astype(np.int64)[r], records["f"][r], records["id"][r]
+    sketches = np.ascontiguousarray(records["s"])
     new_list = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
     new_block = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (n[1:] != n[:-1])])
     list_end = np.repeat(np.r_[new_list[1:], count], np.diff(np.r_[new_list, count]))
@@ -112,24 +135,19 @@ def walk(rows: np.ndarray, sim: Jaccard, by_position: bool, by_flag: bool):
         if by_flag:
             ok = ((f[a] & 1) & (f[b] >> 1)) | ((f[a] >> 1) & (f[b] & 1))
             a, b = a[ok > 0], b[ok > 0]
-        near = (np.bitwise_count(s0[a] ^ s0[b]).astype(np.int64) + np.bitwise_count(s1[a] ^ s1[b])) <= 128 - SKETCH_AGREE
+        near = np.bitwise_count(sketches[r[a]] ^ sketches[r[b]]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS - SKETCH_AGREE
         near &= ids[a] != ids[b]
         if near.any():
             yield a[near], b[near]
         j = np.where(fits, j + 1, block_end[j])
 
 
-def load(blobs) -> np.ndarray:
-    rows = np.concatenate([np.frombuffer(b.as_py(), dtype=POSTING) for b in blobs])
-    return rows[np.lexsort((rows["p"], rows["n"], rows["t"]))]
-
-
 def shared_counts(packed: DataFrame, sim: Jaccard) -> DataFrame:
     """(a, b, need): pairs that share at least ``need`` tokens of their prefixes within the position bounds."""
 
     def bucket(table: pa.Table) -> pa.Table:
-        rows = load(table["blob"])
-        ids, n = rows["id"], rows["n"].astype(np.int64)
+        records, rows = load(table["blob"])
+        ids, n = records["id"][rows["r"]], records["n"].astype(np.int64)[rows["r"]]
         found: list[np.ndarray] = []
         held: list[np.ndarray] = []
         waiting = 0
@@ -141,7 +159,7 @@ def shared_counts(packed: DataFrame, sim: Jaccard) -> DataFrame:
                 found.append(np.c_[u, np.bincount(w.ravel(), weights=x[:, 3]).astype(np.int64)])
                 held.clear()
 
-        for a, b in walk(rows, sim, by_position=True, by_flag=False):
+        for a, b in walk(records, rows, sim, by_position=True, by_flag=False):
             need = sim.shared(sim.overlap(n[a] + n[b]))
             held.append(np.c_[np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), need, np.ones(len(a), dtype=np.int64)])
             waiting += len(a)

@@ -19,35 +19,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.blocks import POSTING, Jaccard, pack, shared_counts
+from scrivane.llm.blocks import POSTING, RECORD, Jaccard, pack, shared_counts
 from scrivane.llm.signatures import classes, involved, packed_values, record_signatures, shingle_frequencies, texts, with_values
-from scrivane.llm.words import MIN_WORDS, bucket_of, grams, pack40, unpack40
+from scrivane.llm.words import MIN_WORDS, bucket_of, distinct, grams, pack40, unpack40
 from scrivane.runtime import cut
 
 
-def postings(batch: pa.RecordBatch) -> np.ndarray:
-    """All postings of a batch of records as one structured array."""
-    out = []
+def postings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The records of a batch and all their postings."""
     flag = batch.column("flag").to_pylist() if "flag" in batch.schema.names else [0] * batch.num_rows
-    for i, n, s, t, p, f in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "sketch", "tokens", "places")), flag):
+    records = np.zeros(batch.num_rows, dtype=RECORD)
+    out = []
+    for k, (i, n, s, t, p, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "n", "sketch", "tokens", "places")), flag)):
         token = np.frombuffer(t, dtype="<u4")
         rows = np.empty(len(token), dtype=POSTING)
-        rows["t"], rows["p"] = token, np.frombuffer(p, dtype="<u4")
-        rows["id"], rows["n"], rows["f"] = i, n, f
-        rows["s0"], rows["s1"] = np.frombuffer(s, dtype="<u8")
+        rows["t"], rows["p"], rows["r"] = token, np.frombuffer(p, dtype="<u4"), k
+        records[k] = (i, n, f, np.frombuffer(s, dtype="<u8"))
         out.append(rows)
-    return np.concatenate(out) if out else np.zeros(0, dtype=POSTING)
+    return records, np.concatenate(out) if out else np.zeros(0, dtype=POSTING)
 
 
 def prefix_records(rows: DataFrame, sim: Jaccard, least_words: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(shingle_frequencies(rows, least_words))  # 16 MB at any size
 
-    def prefix(_, distinct):
-        count = shared.value[bucket_of(distinct)]
-        order = np.lexsort((distinct, count))[: sim.prefix(len(distinct))]
+    def prefix(_, values):
+        count = shared.value[bucket_of(values)]
+        order = np.lexsort((values, count))[: sim.prefix(len(values))]
         places = np.arange(1, len(order) + 1)
         repeated = count[order] > 1  # a count of 1 is a shingle of one record, which joins nothing
-        return distinct[order][repeated], places[repeated]
+        return values[order][repeated], places[repeated]
 
     return record_signatures(rows, prefix, least_words)
 
@@ -59,7 +59,7 @@ def similar_classes(rows: DataFrame, threshold: float = 0.7, least_words: int =
     reps, members = classes(records)
     one_each = records.dropDuplicates(["id"]).join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
     candidates = cut(shared_counts(pack(one_each, postings), sim))
-    sets = packed_values(rows, involved(candidates), lambda h: pack40(np.unique(grams(h))), least_words)
+    sets = packed_values(rows, involved(candidates), lambda h: pack40(distinct(grams(h))), least_words)
 
     def verify(batches):
         for batch in batches:

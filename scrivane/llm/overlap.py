@@ -21,20 +21,34 @@ from pyspark.sql import functions as F
 from scrivane.llm.blocks import Jaccard, load, pack, walk
 from scrivane.llm.neardup import postings
 from scrivane.llm.signatures import KEY, classes, involved, packed_values, record_signatures, shingle_frequencies, texts, with_values
-from scrivane.llm.words import MIN_WORDS, bucket_of, grams, pack40, unpack40
+from scrivane.llm.words import MIN_WORDS, bucket_of, distinct, grams, pack40, unpack40
 from scrivane.runtime import cut
 
 WINDOW = 8
 TRAIN, EVAL = 1, 2
 
 
-def winnow(order: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least value of each window, the rightmost of equals, in ascending order."""
-    count = len(order)
-    if count <= window:
-        return np.array([count - 1 - int(np.argmin(order[::-1]))]) if count else np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(order, window)[:, ::-1]
-    return np.unique(np.arange(count - window + 1) + window - 1 - views.argmin(axis=1))
+def winnow(count: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
+    """Positions, in ascending order, of the rarest of each window's grams: least (count, hash), rightmost of equals.
+
+    Count, hash and position share one word of 20 + 20 + 24 bits, so that windows are plain running minima; the position
+    is reduced modulo 2**24, which only matters to ties within one window.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    at = np.arange(n, dtype=np.uint64)
+    mask = np.uint64(2**24 - 1)
+    x = (np.minimum(count, 2**20 - 1).astype(np.uint64) << np.uint64(44)) | ((hashes >> np.uint64(44)) << np.uint64(24)) | (mask - (at & mask))
+    size, want = 1, min(window, n)
+    while size < want:
+        step = min(size, want - size)
+        x = np.minimum(x[:-step], x[step:])
+        size += step
+    start = np.arange(len(x), dtype=np.int64)
+    # the position modulo 2**24, brought back into the window that starts at ``start``
+    place = start + ((((mask - (x & mask)).astype(np.int64) - start)) & (2**24 - 1))
+    return place[np.r_[True, place[1:] != place[:-1]]]
 
 
 def chain(seeds: np.ndarray) -> np.ndarray:
@@ -87,10 +101,10 @@ def seed_pairs(packed: DataFrame, sim: Jaccard) -> DataFrame:
     """(a, b, seeds): class pairs that share fingerprints across splits, with packed positions of each."""
 
     def bucket(table: pa.Table) -> pa.Table:
-        rows = load(table["blob"])
-        ids, p = rows["id"], rows["p"].astype(np.int64)
+        records, rows = load(table["blob"])
+        ids, p = records["id"][rows["r"]], rows["p"].astype(np.int64)
         held = []
-        for i, j in walk(rows, sim, by_position=False, by_flag=True):
+        for i, j in walk(records, rows, sim, by_position=False, by_flag=True):
             swap = ids[i] > ids[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             held.append(np.c_[ids[i], ids[j], p[i], p[j]])
@@ -119,8 +133,7 @@ def overlaps(resumes: DataFrame, splits: DataFrame, threshold: float = 0.7, leas
     def fingerprints(h, _):
         g = grams(h)
         count = shared.value[bucket_of(g)]
-        rank = (np.minimum(count, 2**24 - 1).astype(np.uint64) << np.uint64(40)) | (g >> np.uint64(24))
-        at = winnow(rank, window)
+        at = winnow(count, g, window)
         at = at[count[at] > 1]
         return g[at], at
 
@@ -136,7 +149,7 @@ def overlaps(resumes: DataFrame, splits: DataFrame, threshold: float = 0.7, leas
             kept = []
             for a, b, s, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "seeds", "value_a", "value_b"))):
                 u, v = unpack40(x), unpack40(y)
-                gu, gv = np.unique(grams(u)), np.unique(grams(v))
+                gu, gv = distinct(grams(u)), distinct(grams(v))
                 both = np.concatenate((gu, gv))
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.words import MIN_WORDS, bucket_counts, bucket_of, grams, id_hash, multiset_key, sketch, word_hashes
+from scrivane.llm.words import MIN_WORDS, bucket_counts, bucket_of, distinct, grams, id_hash, multiset_key, sketch, word_hashes
 from scrivane.runtime import cut
 
 KEY = ["set1", "set2", "bag1", "bag2"]
@@ -27,7 +27,7 @@ def shingle_frequencies(rows: DataFrame, least_words: int) -> np.ndarray:
         for text in batch.column("text").to_pylist():
             h = word_hashes(text)
             if len(h) >= least_words:
-                yield np.unique(grams(h))
+                yield distinct(grams(h))
 
     return bucket_counts(rows.select("text"), values)
 
@@ -48,9 +48,9 @@ def record_signatures(rows: DataFrame, tokens_of: Callable, least_words: int = M
                 h = word_hashes(text)
                 if len(h) < least_words:
                     continue
-                distinct = np.unique(grams(h))
-                tokens, places = tokens_of(h, distinct)
-                out.append((i, *multiset_key(distinct), *multiset_key(h), len(distinct), sketch(distinct).tobytes(), (tokens >> np.uint64(32)).astype("<u4").tobytes(), places.astype("<u4").tobytes()))
+                shingles = distinct(grams(h))
+                tokens, places = tokens_of(h, shingles)
+                out.append((i, *multiset_key(shingles), *multiset_key(h), len(shingles), sketch(shingles).tobytes(), (tokens >> np.uint64(32)).astype("<u4").tobytes(), places.astype("<u4").tobytes()))
             if out:
                 columns = list(zip(*out))
                 types = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * 3

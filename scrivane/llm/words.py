@@ -26,17 +26,53 @@ _CHUNKS = 64
 _CACHE = 1_000_000
 
 
-class _WordHashes(dict):
-    """word -> 64-bit hash; emptied when it grows past a bound, so a worker's memory stays flat."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > _CACHE:
+_SEPARATORS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+
+
+class _Tokens:
+    """Hashes of byte tokens. ASCII separators are cut by a byte table; a token with other signs may hold no word, one or
+    several, found once by the pattern and kept. Emptied when it grows past a bound, so a worker's memory stays flat."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.starts = np.zeros(1024, dtype=np.int64)
+        self.counts = np.zeros(1024, dtype=np.int64)
+        self.flat = np.zeros(1024, dtype=np.uint64)
+        self.used = 0
+
+    def add(self, token: bytes) -> int:
+        found = [token.decode()] if token.isascii() else WORD.findall(token.decode("utf-8", "surrogatepass"))
+        at = self.index[token] = len(self.index)
+        if at >= len(self.starts):
+            self.starts, self.counts = np.resize(self.starts, 2 * at), np.resize(self.counts, 2 * at)
+        while self.used + len(found) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.starts[at], self.counts[at] = self.used, len(found)
+        for w in found:
+            self.flat[self.used] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            self.used += 1
+        return at
+
+    def hashes(self, tokens: list[bytes]) -> np.ndarray:
+        if len(self.index) > _CACHE:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+        index = self.index
+        try:
+            at = np.fromiter(map(index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        except KeyError:
+            at = np.fromiter([index[t] if t in index else self.add(t) for t in tokens], dtype=np.int64, count=len(tokens))
+        count = self.counts[at]
+        first = self.starts[at]
+        if (count != 1).any():
+            ends = np.cumsum(count)
+            first = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+        return self.flat[first]
 
 
-_HASHES = _WordHashes()
+_TOKENS = _Tokens()
 
 
 def words(text: str | None) -> list[str]:
@@ -49,8 +85,20 @@ def words(text: str | None) -> list[str]:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    found = words(text)
-    return np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
+    """64-bit hashes of ``words(text)``, in order."""
+    if not text:
+        return np.zeros(0, dtype=np.uint64)
+    if "İ" in text:
+        return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words(text)], dtype=np.uint64)
+    return _TOKENS.hashes(text.lower().encode("utf-8", "surrogatepass").translate(_SEPARATORS).split())
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; faster on short arrays than a general unique."""
+    if len(values) < 2:
+        return values
+    v = np.sort(values)
+    return v[np.r_[True, v[1:] != v[:-1]]]
 
 
 def grams(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -95,20 +143,23 @@ def unpack40(data: bytes) -> np.ndarray:
 # --- one-bit minwise sketch -------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240607)
-_MUL = (_RNG.integers(1, 2**32, size=(128, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _RNG.integers(0, 2**32, size=(128, 1), dtype=np.uint64).astype(np.uint32)
-#: Records of similarity 0.7 agree in 109 of 128 bits on average; fewer than 80 has a chance of about 4e-9.
-SKETCH_AGREE = 80
+_MUL = (_RNG.integers(1, 2**32, size=(256, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_ADD = _RNG.integers(0, 2**32, size=(256, 1), dtype=np.uint64).astype(np.uint32)
+#: Records of similarity 0.7 agree in 218 of 256 bits on average; fewer than 178 has a chance of about 4e-9, while
+#: unrelated records agree in about 135.
+SKETCH_BITS = 256
+SKETCH_AGREE = 178
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
-    """128 bits, each the parity bit of one permutation's minimum, as two uint64."""
+    """One parity bit of each of 256 permutations' minimum, as four uint64."""
     h = (values >> np.uint64(32)).astype(np.uint32)
-    low = np.full((128, 1), 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(h), 4096):
-        low = np.minimum(low, (_MUL * h[at : at + 4096] + _ADD).min(axis=1, keepdims=True))
-    bits = ((low[:, 0] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-    return np.packbits(bits).view(np.uint64)
+    low = np.full(SKETCH_BITS, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(h), 2048):
+        block = np.multiply.outer(_MUL[:, 0], h[at : at + 2048])
+        block += _ADD
+        np.minimum(low, block.min(axis=1), out=low)
+    return np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.uint64)
 
 
 # --- counts by hash bucket: a statistic of fixed size over all rows ------------------------------------------------
