@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.llm import copies, encode, mix, neardup, overlap, residue, sample
+from scrivane.llm import copies, encode, mix, neardup, overlap, pii, residue, sample
 from scrivane.runtime import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(table(spark, folder, "resume"))
+
+
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redacted(table(spark, folder, "resume"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlaps(table(spark, folder, "resume"), table(spark, folder, "resume_split")).select("id_a", "id_b")
 
@@ -63,7 +71,7 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_links, p4_found, p4_counts, p5_sample, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_report, p3_found, p3_links, p4_found, p4_counts, p5_sample, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kept)}
 
 
 _KEYED = r"""
