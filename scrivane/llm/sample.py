@@ -42,10 +42,9 @@ def quotas(counts: DataFrame, targets: DataFrame, fraction: float) -> DataFrame:
     """One row per target: available, wanted, quota. Both inputs are aggregates of one row a category."""
     name = F.upper(F.regexp_replace("category", r"^\s+|\s+$", ""))
     wanted = targets.select("target_name", name.alias("category"), F.col("target_share").cast("double").alias("target_share"), F.col("min_records").cast("long").alias("min_records"))
-    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("total"))
-    size = total.select(F.floor(F.col("total") * F.lit(fraction) + 0.5).cast("long").alias("sample_size"))
-    joined = wanted.join(counts, "category", "left").crossJoin(F.broadcast(size))  # size is one row
-    wish = F.floor(F.col("target_share") * F.col("sample_size") + 0.5).cast("long")
+    size = int((counts.agg(F.sum("available")).first()[0] or 0) * fraction + 0.5)
+    joined = wanted.join(counts, "category", "left")
+    wish = F.floor(F.col("target_share") * F.lit(float(size)) + 0.5).cast("long")
     joined = joined.withColumn("available", F.coalesce("available", F.lit(0)).cast("long"))
     joined = joined.withColumn("wanted", F.greatest(wish, F.coalesce("min_records", F.lit(0))).cast("long"))
     return joined.withColumn("quota", F.least("wanted", "available"))
