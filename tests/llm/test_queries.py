@@ -1,0 +1,14 @@
+import pytest
+from oracle import FOLDER, same
+
+from scrivane.llm import registry
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    same(spark, registry.queries()[name], registry.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_gives_rows(spark, name):
+    assert registry.queries()[name](spark, FOLDER).count() > 0
