@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.functions import lexicon
-from scrivane.functions.text import strip
+from scrivane.functions.text import let, strip
 
 EMPTY_ARRAY = "array<string>"
 MOST_SKILLS = 35
@@ -40,12 +40,19 @@ def header_pattern(section: str | None = None) -> str:
 
 def section(text: Column, key: str) -> Column:
     """Lines after the first header of the section up to the next header of any, stripped; empty without one."""
-    lines = lines_of(text)
-    start = F.coalesce(F.array_position(F.transform(lines, lambda x: x.rlike(header_pattern(key))), F.lit(True)), F.lit(0)).cast("int")
-    rest = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
-    stop = F.array_position(F.transform(rest, lambda x: x.rlike(header_pattern()) & (strip(x) != "")), F.lit(True)).cast("int")
-    body = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-    return F.when(start > 0, strip(F.array_join(body, "\n"))).otherwise(F.lit(""))
+
+    def after(lines: Column, start: Column) -> Column:
+        return let(F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0))), body)
+
+    def body(rest: Column) -> Column:
+        stop = F.array_position(F.transform(rest, lambda x: x.rlike(header_pattern()) & (strip(x) != "")), F.lit(True)).cast("int")
+        return let(stop, lambda k: strip(F.array_join(F.when(k > 0, F.slice(rest, F.lit(1), k - 1)).otherwise(rest), "\n")))
+
+    def found(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, lambda x: x.rlike(header_pattern(key))), F.lit(True)).cast("int")
+        return let(F.coalesce(start, F.lit(0)), lambda k: F.when(k > 0, after(lines, k)).otherwise(F.lit("")))
+
+    return let(lines_of(text), found)
 
 
 def split_items(text: Column) -> Column:
@@ -96,10 +103,10 @@ def _is_name(line: Column, skills: Column) -> Column:
 def name(text: Column, skills: Sequence[str] = ()) -> Column:
     """A line that reads like a name among the first five, else, of four signs or more, among the first eight."""
     known = F.array(*(F.lit(s) for s in skills)) if skills else F.array().cast(EMPTY_ARRAY)
-    lines = F.transform(F.filter(lines_of(text), lambda x: strip(x) != ""), lambda x: strip(F.regexp_replace(x, "^[^a-zA-Z]+", "")))
-    early = F.get(F.filter(F.slice(lines, 1, 5), lambda x: _is_name(x, known)), F.lit(0))
-    late = F.get(F.filter(F.slice(lines, 1, 8), lambda x: _is_name(x, known) & (F.length(x) >= 4)), F.lit(0))
-    return F.coalesce(early, late)
+    # the leading lines are cut off first: a text may have many
+    lines = F.transform(F.slice(F.filter(lines_of(text), lambda x: strip(x) != ""), 1, 8), lambda x: strip(F.regexp_replace(x, "^[^a-zA-Z]+", "")))
+    valid = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda v: _is_name(v["x"], known) & ((v["i"] < 5) | (F.length(v["x"]) >= 4)))
+    return let(valid, lambda v: F.coalesce(F.get(F.filter(v, lambda y: y["i"] < 5), F.lit(0))["x"], F.get(v, F.lit(0))["x"]))
 
 
 def location(text: Column) -> Column:

@@ -7,7 +7,7 @@ All functions map null to null unless stated otherwise.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
@@ -30,6 +30,11 @@ CONTRACTIONS = {"cannot": "can not", "gonna": "gon na", "gotta": "got ta", "gimm
 NOUN_ENDINGS = (("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"), ("s", ""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scrivane.functions import extract, folds, quality, text
 from scrivane.operators import features, metrics, models, recommend, stats
 from scrivane.plans import analyze
-from scrivane.runtime import shuffle_width, table
+from scrivane.runtime import shuffle_width, spread, table
 from scrivane.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,7 @@ def resumes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 def category() -> F.Column:

@@ -48,3 +48,12 @@ def shuffle_width(spark: SparkSession, least: int = 12) -> int:
     """Number of hash buckets for operators that pack rows per bucket: follows spark.sql.shuffle.partitions."""
     ship(spark)
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows of a few-file input over all cores before costly per-row work.
+
+    An input that already has a partition for every core, as any large table has, is left alone: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -79,7 +79,7 @@ def separable(spark):
 @pytest.mark.parametrize("name", models.MODELS)
 def test_models_learn_and_give_probabilities(spark, separable, name):
     data, labels = separable
-    model = models.fit(name, data, 3, trees=5, depth=4)
+    model = models.fit(name, data, 3, trees=5, depth=4, iterations=5)
     rows = models.predictions(model, data.where("split = 'test'"), labels).collect()
     assert sum(r.predicted == r.label for r in rows) >= 0.8 * len(rows)
     for r in rows:
