@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.runtime import ship
+from scrivane.runtime import ship, spread
 
 #: The published split pattern of this vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -135,7 +135,8 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 ids = pa.array([encoder.encode(t) for t in some.column("text").to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(part, "doc_id long, ids array<int>")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return spread(rows, "doc_id").mapInArrow(part, "doc_id long, ids array<int>")
 
 
 def token_counts(df: DataFrame, columns: list[str], text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -150,4 +151,4 @@ def token_counts(df: DataFrame, columns: list[str], text_col: str = "text", path
             counts = pa.array([encoder.count(t) for t in batch.column("_text_").to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), counts], [*columns, "n_tokens"])
 
-    return rows.mapInArrow(part, kind)
+    return spread(rows, columns[0]).mapInArrow(part, kind)

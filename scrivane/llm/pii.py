@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.runtime import ship
+from scrivane.runtime import ship, spread
 
 KEEP = 1.0
 
@@ -545,7 +545,7 @@ def redact(text: str | None, is_html: bool) -> str | None:
 def found(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("resume_str", "resume_html")) -> DataFrame:
     """(resume_id, field, kind, value): one row per distinct item of a record's field."""
     ship(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), *(F.col(f) for f in fields)).where("id is not null")
+    rows = spread(df.select(F.col(id_col).cast("long").alias("id"), *(F.col(f) for f in fields)).where("id is not null"), "id")
 
     def part(batches):
         for batch in batches:

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm.words import MIN_WORDS, bucket_counts, bucket_of, distinct, grams, id_hash, multiset_key, sketch, word_hashes
-from scrivane.runtime import cut
+from scrivane.runtime import cut, spread
 
 KEY = ["set1", "set2", "bag1", "bag2"]
 
 
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text) of rows that have both; every other column, whatever its name, is pruned at the scan."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"), "id")
 
 
 def shingle_frequencies(rows: DataFrame, least_words: int) -> np.ndarray:
