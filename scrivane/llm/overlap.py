@@ -7,6 +7,11 @@ the chain is extended word by word to an alignment, and the alignment's coverage
 has runs longer than that window: its edits may touch at most three tenths of the union, and each edit breaks at
 least four shingles. An exact check of the similarity follows.
 
+A fingerprint that more than ``HOT`` records may share, such as one inside a paragraph that a third of all rows carry, is
+not posted, which bounds the work of every list. Records that lose one post their rarest shingles instead, as many as
+any two sets of the wanted similarity must share one of: a pair that has only hot fingerprints in common is found by
+those, any other by the fingerprints.
+
 Defined cases as in ``neardup``; records without a split, or of another split, take no part. Splits are trimmed and
 lower-cased.
 """
@@ -25,6 +30,7 @@ from scrivane.llm.words import MIN_WORDS, bucket_of, distinct, grams, pack40, un
 from scrivane.runtime import cut
 
 WINDOW = 8
+HOT = 5_000
 TRAIN, EVAL = 1, 2
 
 
@@ -120,7 +126,7 @@ def seed_pairs(packed: DataFrame, sim: Jaccard) -> DataFrame:
     return per_bucket.groupBy("a", "b").agg(F.collect_list("seeds").alias("seeds"))  # at most one row a bucket
 
 
-def overlaps(resumes: DataFrame, splits: DataFrame, threshold: float = 0.7, least_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
+def overlaps(resumes: DataFrame, splits: DataFrame, threshold: float = 0.7, least_words: int = MIN_WORDS, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(id_a, id_b, similarity, coverage) with id_a < id_b, one of train, the other of an evaluation split.
 
     Records with the same words equally often have similarity and coverage 1 here.
@@ -130,10 +136,16 @@ def overlaps(resumes: DataFrame, splits: DataFrame, threshold: float = 0.7, leas
     flags = split_flags(splits).select("id", "flag")
     shared = rows.sparkSession.sparkContext.broadcast(shingle_frequencies(rows, least_words))  # 16 MB at any size
 
-    def fingerprints(h, _):
+    def fingerprints(h, shingles):
         g = grams(h)
         count = shared.value[bucket_of(g)]
         at = winnow(count, g, window)
+        if (count[at] > hot).any():
+            known = shared.value[bucket_of(shingles)]
+            rarest = shingles[np.lexsort((shingles, known))[: sim.prefix(len(shingles))]]
+            order = np.argsort(g, kind="stable")
+            first = order[np.searchsorted(g[order], rarest)]
+            at = np.union1d(at[count[at] <= hot], first)
         at = at[count[at] > 1]
         return g[at], at
 

@@ -88,11 +88,12 @@ def test_links_count_classes(table, corpus):
     assert any(r.links for r in rows.values()) and all(rows[a].class_id == rows[b].class_id for a, b in same & similar if rows[a].class_id == rows[b].class_id)
 
 
-def test_overlaps_equal_brute_force(table, splits, corpus):
+@pytest.mark.parametrize("hot", [overlap.HOT, 4, 1])
+def test_overlaps_equal_brute_force(table, splits, corpus, hot):
     of = {r.resume_id: (r.split or "").strip().lower() for r in splits.collect()}
     similar, same = brute(set(corpus))
     cross = {p for p in similar | same if {of.get(p[0]), of.get(p[1])} in ({"train", "validation"}, {"train", "test"})}
-    found = overlap.overlaps(table, splits)
+    found = overlap.overlaps(table, splits, hot=hot)
     assert pairs(found, "id_a", "id_b") == cross and cross
     assert all(0 < r.coverage <= 1 and r.similarity >= 0.7 for r in found.collect())
     report = overlap.overlap_report(table, splits).collect()
@@ -118,6 +119,18 @@ def test_hot_keys_take_the_salted_way(spark):
     assert [(r.keep_id, r["count"]) for r in got] == [(0, 2666)]
 
 
+def test_a_paragraph_shared_by_most_records(spark):
+    """The paragraph's fingerprints are hot; the records are similar only where the rest is."""
+    rng = random.Random(5)
+    common = " ".join(f"c{k}" for k in range(40))
+    rows = [(k, common + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))) for k in range(60)]
+    rows += [(100 + k, rows[k][1] + " tail") for k in range(10)]
+    df = spark.createDataFrame([(i, t, "C", "o", 1, 1, 1, "z") for i, t in rows], TEXT)
+    splits = spark.createDataFrame([(i, "train" if i < 100 else "test", "s") for i, _ in rows], "resume_id long, split string, source string")
+    assert pairs(overlap.overlaps(df, splits, hot=30), "id_a", "id_b") == {(k, 100 + k) for k in range(10)}
+    assert pairs(neardup.near_duplicates(df), "id_a", "id_b") == {(k, 100 + k) for k in range(10)}
+
+
 def test_empty_tables(spark, table, splits):
     none = table.where("false")
     assert neardup.near_duplicates(none).collect() == [] and copies.hidden_copies(none).collect() == []
