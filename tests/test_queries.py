@@ -3,7 +3,7 @@ from oracle import FOLDER, same
 
 from scrivane.plans import registry
 
-HEAVY = {"logistic_regression", "naive_bayes", "model_comparison"}
+HEAVY = {"logistic_regression", "naive_bayes", "random_forest", "model_comparison"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
