@@ -22,7 +22,7 @@ def per_class(df: DataFrame, by: list[str], truth: str = "y_true", predicted: st
     c = sides.groupBy(*by, "label").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     c = c.withColumn("precision", zero(F.try_divide(F.col("tp").cast("double"), F.col("predicted")))).withColumn("recall", zero(F.try_divide(F.col("tp").cast("double"), F.col("support"))))
-    return c.withColumn("f1", zero(F.try_divide(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))))
+    return c.withColumn("f1", zero(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("predicted"))))
 
 
 def summary(df: DataFrame, by: list[str], truth: str = "y_true", predicted: str = "y_pred", digits: int | None = 6) -> DataFrame:

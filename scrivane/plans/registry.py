@@ -500,7 +500,7 @@ _PAIRS = """WITH p AS (SELECT DISTINCT * FROM prediction WHERE y_true IS NOT NUL
     l AS (SELECT DISTINCT model, y_true AS label FROM p UNION SELECT DISTINCT model, y_pred FROM p),
     c AS (SELECT l.model, l.label, count(*) FILTER (y_true = l.label AND y_pred = l.label) AS tp, count(*) FILTER (y_true = l.label) AS support, count(*) FILTER (y_pred = l.label) AS predicted FROM l JOIN p ON p.model = l.model GROUP BY ALL),
     m AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0::DOUBLE ELSE tp / predicted END AS precision, CASE WHEN support = 0 THEN 0.0::DOUBLE ELSE tp / support END AS recall FROM c),
-    k AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM m)"""
+    k AS (SELECT *, CASE WHEN support + predicted = 0 THEN 0.0::DOUBLE ELSE CAST(2 * tp AS DOUBLE) / (support + predicted) END AS f1 FROM m)"""
 _SUMMARY = _PAIRS + """, z AS (SELECT model, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1,
     round(sum(precision * support) / sum(support), 6) AS weighted_precision, round(sum(recall * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS n FROM k GROUP BY model)"""
 
