@@ -178,6 +178,25 @@ _SEPARATOR = re.compile(r"(?:^|[\n|,;•·/:(\[“\"–—-]|\s{2,})\s*$")
 _DATES = re.compile(r"\(?(?:19|20)\d\d ?[-–/] ?(?:(?:19|20)\d\d)?\)?|\d{1,2}[/.]\d{1,2}[/.](?:19|20)?\d\d|\d{1,2}/(?:19|20)\d\d")
 
 
+def _phones(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where phones may stand between two places; a match too long for one number ends where the rest is another."""
+    while p := _PHONE.search(text, start, end):
+        stop = p.end()
+        if sum(c.isdigit() for c in p.group(0)) > 15:
+            for gap in re.finditer(r"[ .-]+(?=[\d(])", p.group(0)):
+                at = p.start() + gap.end()
+                rest = _PHONE.match(text, at, end)
+                if rest and all(9 <= sum(c.isdigit() for c in x) <= 15 for x in (text[p.start() : at], rest.group(0))):
+                    stop = p.start() + gap.start()
+                    break
+        yield p.start(), stop
+        start = stop
+
+
+def _shape(item: str) -> str:
+    return re.sub(r"\d", "0", item)
+
+
 def numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in _RUN.finditer(text):
         run = m.group(0)
@@ -198,38 +217,46 @@ def numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
         if _ID_LABEL.search(before):
             found = _ID.match(text, start - letters)
             if found and not text[found.end() : found.end() + 1].isalnum():
-                yield found.start(), found.end(), "id_number", found.group(0)
-                continue
+                shape = _shape(found.group(0))
+                while found and _shape(found.group(0)) == shape and not text[found.end() : found.end() + 1].isalnum():
+                    yield found.start(), found.end(), "id_number", found.group(0)
+                    start, letters = found.end(), 0
+                    found = _ID.match(text, re.compile("[ /]*").match(text, start).end())
+                digits = sum(c.isdigit() for c in text[start : m.end()])
         if letters or digits < 9:
             continue
-        for p in _PHONE.finditer(text, start, m.end()):
-            count = sum(c.isdigit() for c in p.group(0))
-            if not 9 <= count <= 15 or _DATES.fullmatch(p.group(0)):
+        last = -9
+        for begin, end in _phones(text, start, m.end()):
+            number = text[begin:end]
+            count = sum(c.isdigit() for c in number)
+            if not 9 <= count <= 15 or _DATES.fullmatch(number):
                 continue
-            left, after = text[p.start() - 1 : p.start()] if p.start() else "", text[p.end() : p.end() + 2]
+            left, after = text[begin - 1 : begin] if begin else "", text[end : end + 2]
             if left.isalnum() or left in ("+", "#", "@") or after[:1].isalnum() or re.match(r"[-.]\d", after):
                 continue
-            near = text[max(0, p.start() - 30) : p.start()]
+            near = text[max(0, begin - 30) : begin]
             near = near[near.rfind("\n") + 1 :]
             score = 0.0
             if _PHONE_LABEL.search(near):
                 score += 2
             elif _TRADE.search(near):
                 score -= 2
-            if _SEPARATOR.search(text[max(0, p.start() - 4) : p.start()]):
+            if _SEPARATOR.search(text[max(0, begin - 4) : begin]):
                 score += 1
-            if p.group(0)[0] in "+(":
+            if number[0] in "+(":
                 score += 1
             elif re.search(r"[A-Za-z]{2,} $", near) and score < 2:
                 score -= 0.5 if near.rstrip()[-1:].isalpha() and not near.islower() and not re.search(r"\b[a-z]+ $", near) else 1.5
-                score += 0.5 if "-" in p.group(0) or "." in p.group(0) else 0
+                score += 0.5 if "-" in number or "." in number else 0
+            if begin - last <= 4:
+                score += 1  # the next of a list
             if "@" in near:
                 score += 1
-            if count >= 13 and luhn(re.sub(r"\D", "", p.group(0))) and p.group(0)[0] != "+":
+            if count >= 13 and luhn(re.sub(r"\D", "", number)) and number[0] != "+":
                 score -= 2  # a payment card
             if score >= KEEP:
-                yield p.start(), p.end(), "phone", p.group(0)
-                break
+                yield begin, end, "phone", number
+                last = end
 
 
 # --- addresses --------------------------------------------------------------------------------------------------------
