@@ -365,7 +365,18 @@ _LABELS = ("name:", "name :", "name -", "nombre:", "nom:", "candidate:", "applic
 _LEFT_CUE = re.compile(r"(?:^|[\s(])(?:for|to|by|from|with|under|of|and|contact|supervisor|referee|reference)\s$", re.I)
 _LINE_START = re.compile(r"(?:(?:^|[\n|•·;/\"“”>]|\s{2})[ *+\-–—‣▪>#\r]*)(?:(?:references?|referees?|contact(?: details)?|personal (?:details|information))\s?:? *)?$", re.I)
 _INITIAL = re.compile(r"[^\W\d_](?<![\w.'].)\.(?= [^\W\d_])")
-_WORD = re.compile(r"\b(?:for|to|by|from|with|under|of|contact|and|supervisor|referee|reference) ([^\W\d_][\w']*\.?)(?=[ -])", re.I)
+#: Cues after which any capitalised word may begin a name.
+_NAME_CUE = re.compile(r"(?<![^\W_])(?i:report(?:ed|ing|s)(?: directly)? to|(?:supervised|managed|mentored|referred) by|supervisor|line manager|referees?|references?|contact|deputi[sz]ed for|(?:took over|handover) from)(?: is| was)?[:,]?\s+(?=[^\W\d_a-z])")
+_HEAD = re.compile(r"(?:^|\s{2}|[|•·])[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-z][^\W\d_]*[a-z'.-])", re.M)
+#: Capitalised words that begin or end names of offices, teams and places, not of persons.
+_OFFICE = set(
+    "human resources customer client service services sales marketing finance financial accounting accounts senior junior regional general executive chief vice board department division managing assistant national international global corporate "
+    "business public relations quality assurance health safety new north south east west old information technology software data project product process operations production plant store head office staff support technical legal medical "
+    "nursing clinical administrative administration training development education art arts creative digital media web graphic network system systems security property facilities retail account key care patient social community youth "
+    "program programme area district state city county federal government us uk united states american english french spanish german microsoft adobe google work experience professional personal career summary additional core areas available upon "
+    "academic background employment history education qualifications qualification certifications licenses licences volunteer achievements highlights objective profile details fluent basic native intermediate conversational advanced arabic hindi "
+    "request company name current present port upper lower cross glen mount mail e-mail email write fort lake saint san santa contract review analysis design writing engineering january february march april june july september october november december monday tuesday wednesday thursday friday saturday sunday skills languages member members team teams".split()
+)
 _WORD = re.compile(r"[^\W\d_][\w']*(?:-[^\W\d_][\w']*)*\.?")
 
 
@@ -468,6 +479,45 @@ def names(text: str) -> Iterator[tuple[int, int, str, str]]:
             at = low.find(given, end)
     for start in sorted(starts):
         yield from _unlabelled(text, start, any_case)
+    yield from _cued(text)
+
+
+def _cued(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Names that a cue before, or a role or contact after the head of a line, shows; any capitalised word may begin one."""
+    if text.islower() or mostly_capital(text):
+        return
+    for m in _NAME_CUE.finditer(text):
+        end = _person(text, m.end())
+        if end:
+            yield m.end(), end, "name", text[m.end() : end]
+    first = len(text) - len(text.lstrip())
+    for m in _HEAD.finditer(text):
+        end = _person(text, m.end())
+        if not end:
+            continue
+        tail = text[end : end + 160]
+        line = tail.split("\n")[0]
+        rest = re.split(r"  |[|•·;]", line)[0].strip()
+        after = tail[len(rest) :].lstrip(" \n\r\t|•·;-–—")[:60].split("\n")[0]
+        detail = rest[:1] in tuple(",–—-(:") and ("@" in rest or sum(c.isdigit() for c in rest) >= 7)
+        alone = not rest and ((_CONTACT.match(after) and not re.match(r"\(?(?:19|20)\d\d\b|\d{3,5}[A-Za-z]? [^\W\d_]", after)) or (m.start() <= first and _JOB.search(after)))
+        if _ROLE.match(text, end) or detail or alone or _CONTACT.match(rest.strip(" ,–—-:")):
+            yield m.end(), end, "name", text[m.end() : end]
+
+
+def _person(text: str, start: int) -> int | None:
+    """End of the two or more capitalised words that begin here, unless they name an office, a firm or a common thing."""
+    got = parse_name(text, start, True)
+    if not got or firm_follows(text, got[0]) or re.match(r" (?=[^\W\d_a-z])", text[got[0] : got[0] + 2]):
+        return None
+    words = text[start : got[0]].split()
+    bare = [w.strip(".").lower() for w in words]
+    if any(w in _OFFICE or w in _FIRM or w in _PHRASE or w in _KINDS or _JOB.fullmatch(w) for w in bare):
+        return None
+    # a word that the text also writes small is no name
+    if any(len(w) > 2 and w not in _PARTICLE and re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text) for w in bare):
+        return None
+    return got[0]
 
 
 def _labelled(text: str, low: str, label: str, at: int, any_case: bool) -> Iterator[tuple[int, int, str, str]]:
