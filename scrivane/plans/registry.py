@@ -482,16 +482,21 @@ def naive_bayes(spark, folder):
 
 @query()
 def random_forest(spark, folder):
-    """Twenty trees of depth ten over 3,000 terms, which trains in seconds; 200 and 30 are the defaults."""
-    data, labels = model_data(spark, folder, 3_000)
-    return models.predictions(models.fit("random_forest", data, labels.count(), trees=20, depth=10), data, labels)
+    """200 trees of depth 30, the deepest that Spark grows, over 15,000 terms."""
+    data, labels = model_data(spark, folder)
+    return models.predictions(models.fit("random_forest", data, labels.count()), data, labels)
+
+
+@query()
+def linear_svm(spark, folder):
+    data, labels = model_data(spark, folder)
+    return models.predictions(models.fit("linear_svm", data, labels.count()), data, labels)
 
 
 @query()
 def model_comparison(spark, folder):
-    """Two of the models, which train in seconds; ``models.compare`` takes any."""
     data, labels = model_data(spark, folder)
-    return models.compare(data, labels, ("naive_bayes", "logistic_regression"))
+    return models.compare(data, labels)
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
