@@ -1,10 +1,10 @@
 """Problem 5: samples whose category shares follow target proportions.
 
-Method. One pass keeps, per category, a mergeable reservoir: the records with the smallest random priorities (a hash of
-seed and id), thinned per task by a bound every task knows in advance, together with exact counts. Reservoirs are cut
-into ``cells`` priority ranges per category, so that two reservoirs merge by adding up cells and no category, however
-large, meets in one task. After the final counts the feasible quotas are known; cells below a quota are taken whole
-and only the cell at the quota is ranked. Exhausted categories and unmet targets are reported.
+Method. All records are kept with a random priority (a hash of seed and id) and counted in a histogram of ``CELLS``
+priority ranges per category; it replaces mergeable reservoirs, and no record is thinned out on the way. The counts give
+the feasible quotas; cells below a quota are taken whole and only the cell at the quota is ranked, so that no category,
+however large, meets in one task. Exhausted and missing categories are reported; ``met`` says that the number of records
+wanted was reached, while ``actual_share`` shows the share, which differs where other categories run out.
 
 Quotas. The sample's size is ``fraction`` of the distinct categorised records. A category's wish is its share of that size,
 rounded half up, raised to min_records where given; its quota is the wish or, if fewer records exist, all of them.
