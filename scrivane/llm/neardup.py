@@ -24,6 +24,9 @@ from scrivane.llm.signatures import classes, involved, packed_values, record_sig
 from scrivane.llm.words import MIN_WORDS, bucket_of, distinct, grams, pack40, unpack40
 from scrivane.runtime import cut
 
+#: Least share of all distinct shingles of two records that both have; one value for pairs and for links.
+THRESHOLD = 0.7
+
 
 def postings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The records of a batch and all their postings."""
@@ -52,7 +55,7 @@ def prefix_records(rows: DataFrame, sim: Jaccard, least_words: int) -> DataFrame
     return record_signatures(rows, prefix, least_words)
 
 
-def similar_classes(rows: DataFrame, threshold: float = 0.7, least_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, threshold: float = THRESHOLD, least_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """Pairs of class representatives (a, b, similarity) and the membership (id, rep)."""
     sim = Jaccard.of(threshold)
     records = prefix_records(rows, sim, least_words)
@@ -79,7 +82,7 @@ def similar_classes(rows: DataFrame, threshold: float = 0.7, least_words: int =
     return pairs, cut(membership)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "resume_str", threshold: float = 0.7, least_words: int = MIN_WORDS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "resume_str", threshold: float = THRESHOLD, least_words: int = MIN_WORDS) -> DataFrame:
     """(id_a, id_b), id_a < id_b: similar records that do not have the same words equally often."""
     pairs, members = similar_classes(texts(df, id_col, text_col), threshold, least_words)
     a = members.select(F.col("rep").alias("a"), F.col("id").alias("id_1"), F.struct("bag1", "bag2").alias("bag_1"))
@@ -90,7 +93,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text_col: str = "resume_s
     )
 
 
-def near_duplicate_links(df: DataFrame, id_col: str = "id", text_col: str = "resume_str", threshold: float = 0.8, least_words: int = MIN_WORDS) -> DataFrame:
+def near_duplicate_links(df: DataFrame, id_col: str = "id", text_col: str = "resume_str", threshold: float = THRESHOLD, least_words: int = MIN_WORDS) -> DataFrame:
     """(id, class_id, links): one row per record with its class and the number of other classes it is similar to."""
     pairs, members = similar_classes(texts(df, id_col, text_col), threshold, least_words)
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))

@@ -82,10 +82,24 @@ def test_near_duplicates_equal_brute_force(table, corpus):
 
 
 def test_links_count_classes(table, corpus):
-    rows = {r.id: r for r in neardup.near_duplicate_links(table, threshold=0.7).collect()}
-    similar, same = brute(set(corpus))
-    assert set(rows) == {i for i, t in corpus if i is not None and t and len(t.split()) >= 30}
-    assert any(r.links for r in rows.values()) and all(rows[a].class_id == rows[b].class_id for a, b in same & similar if rows[a].class_id == rows[b].class_id)
+    """One row a record; links are the other classes whose representative is similar, counted by brute force."""
+    rows = {r.id: r for r in neardup.near_duplicate_links(table).collect()}
+    texts = {i: re.findall(r"[^\W_]+", t.lower()) for i, t in set(corpus) if i is not None and t and len(re.findall(r"[^\W_]+", t)) >= 30}
+    assert set(rows) == set(texts)
+    classes = {}
+    for i in sorted(texts):
+        w = texts[i]
+        key = (frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)), tuple(sorted(w)))
+        classes.setdefault(key, []).append(i)
+    rep = {i: members[0] for members in classes.values() for i in members}
+    sets = {members[0]: shingles for (shingles, _), members in classes.items()}
+    links = dict.fromkeys(sets, 0)
+    for a, b in combinations(sorted(sets), 2):
+        if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+    assert {i: (r.class_id, r.links) for i, r in rows.items()} == {i: (rep[i], links[rep[i]]) for i in rep}
+    assert sum(links.values()) > 20
 
 
 @pytest.mark.parametrize("hot", [overlap.HOT, 4, 1])
