@@ -31,10 +31,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; make one only where it is unset (tests)."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder of its own, as in tests; a cluster is an error, because a folder of
+    one machine would not outlive it.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scrivane-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every machine shares")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scrivane-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
