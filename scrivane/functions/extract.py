@@ -1,20 +1,22 @@
 """Fields of a lightly cleaned resume (see ``clean_for_extraction``) as Catalyst expressions.
 
-Everything that looks at lines or single matches is an expression; only the fields whose rules consume lines in order
-(education, experience, certificates, languages) are Arrow-batched folds, in ``scrivane.functions.folds``.
+Education, certificates and languages are in ``scrivane.functions.credentials``. Only experience, whose rules use up lines
+in order, needs Python: ``scrivane.functions.experience``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.functions import lexicon
-from scrivane.functions.text import let, strip
+from scrivane.functions.text import strip
 
 EMPTY_ARRAY = "array<string>"
+#: A statistical recogniser as an optional part: (text, "PERSON", "PLACE" or "FIRM") -> the first such entity, or null.
+Recogniser = Callable[[Column, str], Column]
 MOST_SKILLS = 35
 #: A dictionary is part of the plan as literals, so its size is checked.
 DICTIONARY_LIMIT = 20_000
@@ -29,30 +31,33 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def header_pattern(section: str | None = None) -> str:
-    """Matches a line that holds the header of a section, or of any section."""
-    keys = [section] if section else list(lexicon.SECTION_HEADERS)
-    parts = [rf"(?:{lexicon.SECTION_HEADERS[k]})\b" for k in keys]
+def _header(keys: Iterable[str]) -> str:
+    """What follows the start of a line that holds a header of these sections, on that line alone."""
+    own = lambda pattern: pattern.replace(r"\s", r"[^\S\n]")
+    parts = [rf"[^\n]*?(?:{'|'.join(own(lexicon.SECTION_HEADERS[k]) for k in keys)})\b"]
     if "experience" in keys:
-        parts.append(r"^\s*experience$")
-    return "(?i)(?:" + "|".join(parts) + ")"
+        parts.append(r"[^\S\n]*experience(?:\n|\z)")
+    return "(?:" + "|".join(parts) + ")"
 
 
-def section(text: Column, key: str) -> Column:
-    """Lines after the first header of the section up to the next header of any, stripped; empty without one."""
+def headed(text: Column) -> Column:
+    """The text cut before every line that holds a header of any section; what stands before the first is left out.
 
-    def after(lines: Column, start: Column) -> Column:
-        return let(F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0))), body)
+    No lambda here or in ``section_of`` uses another's variable: Spark does not plan a Python function over one that does.
+    """
+    pieces = F.split(F.concat(F.lit("\n"), text), f"(?i)\n(?={_header(lexicon.SECTION_HEADERS)})")
+    return F.slice(pieces, F.lit(2), F.size(pieces))
 
-    def body(rest: Column) -> Column:
-        stop = F.array_position(F.transform(rest, lambda x: x.rlike(header_pattern()) & (strip(x) != "")), F.lit(True)).cast("int")
-        return let(stop, lambda k: strip(F.array_join(F.when(k > 0, F.slice(rest, F.lit(1), k - 1)).otherwise(rest), "\n")))
 
-    def found(lines: Column) -> Column:
-        start = F.array_position(F.transform(lines, lambda x: x.rlike(header_pattern(key))), F.lit(True)).cast("int")
-        return let(F.coalesce(start, F.lit(0)), lambda k: F.when(k > 0, after(lines, k)).otherwise(F.lit("")))
+def section_of(pieces: Column, key: str) -> Column:
+    """Lines after the first header of the section up to the next header of any, stripped; empty without one."""
+    found = F.get(F.filter(pieces, lambda p: p.rlike(r"(?i)\A" + _header([key]))), F.lit(0))
+    return F.coalesce(strip(F.regexp_replace(found, r"\A[^\n]*", "")), F.lit(""))
+
 
-    return let(lines_of(text), found)
+def section(text: Column, key: str) -> Column:
+    """One section of a text; for several, compute ``headed`` once."""
+    return section_of(headed(text), key)
 
 
 def split_items(text: Column) -> Column:
@@ -63,67 +68,67 @@ def split_items(text: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    closed = F.regexp_replace(text, r"(\w+)\s*[@©®]\s*([\w\-]+(?:\s*\.\s*[a-zA-Z]{2,6})+)", "$1@$2")
-    found = F.lower(first_match(F.regexp_replace(closed, r"\s*\.\s*", "."), r"[\w.+\-]+@[\w.\-]+\.[a-zA-Z]{2,6}"))
-    misread = "@g(?:mai1|mall|maii|natcon|ralicaon|malicon|ralcon)"
-    found = F.regexp_replace(F.regexp_replace(found, misread + r"\.(?:com|con)", "@gmail.com"), misread + "$", "@gmail.com")
-    noisy = r"(?i)([a-zA-Z0-9_\.\+\-]{3,35})\s*[@©®S\d\s]{1,5}\s*([a-zA-Z0-9_\.\-]{0,25}(?:gralicon|gralcon|gnaticom|gmalicon|gmail|yahoo|hotmail|outlook|com)(?:\.[a-zA-Z]{2,6})?)"
-    user, domain = F.lower(strip(F.regexp_extract(text, noisy, 1))), F.lower(strip(F.regexp_extract(text, noisy, 2)))
-    known = domain.rlike("gmail|yahoo|hotmail|outlook|gralicon|gralcon|gmalicon|gnatcon|gnaticom")
-    guess = F.when(user == "", None).when(known, F.concat(user, F.lit("@gmail.com"))).when(F.contains(domain, F.lit(".")), F.concat(user, F.lit("@"), domain))
+    closed = F.regexp_replace(text, lexicon.EMAIL_GAPS, "$1@$2")
+    found = F.lower(first_match(F.regexp_replace(closed, r"\s*\.\s*", "."), lexicon.EMAIL))
+    found = F.regexp_replace(F.regexp_replace(found, lexicon.MISREAD_HOST + r"\.(?:com|con)", "@gmail.com"), lexicon.MISREAD_HOST + "$", "@gmail.com")
+    user, host = (F.lower(strip(F.regexp_extract(text, lexicon.NOISY_EMAIL, k))) for k in (1, 2))
+    guess = F.when(user == "", None).when(host.rlike(lexicon.KNOWN_HOSTS), F.concat(user, F.lit("@gmail.com"))).when(F.contains(host, F.lit(".")), F.concat(user, F.lit("@"), host))
     return F.coalesce(found, guess)
 
 
 def phone(text: Column) -> Column:
-    national = strip(first_match(text, r"(?:\+?977[\s\-]?)?(?:98\d{8}|97\d{8}|01\d{7})\b"))
+    national = strip(first_match(text, lexicon.NATIONAL_PHONE))
     home = F.when(national.startswith("98") | national.startswith("97"), F.concat(F.lit("+977 "), national)).when(~national.startswith("+"), F.concat(F.lit("+"), national)).otherwise(national)
-    any_phone = r"(?:\+?\d{1,3}[\s\-\(\)]?)?\(?\d{2,4}\)?[\s\-\.]?\d{2,4}[\s\-\.]?\d{2,6}(?:\s?(?:#|x\.?|ext\.?|extension)\s?\d{1,5})?"
-    long_enough = F.filter(F.regexp_extract_all(text, F.lit(any_phone), F.lit(0)), lambda m: F.length(F.regexp_replace(m, r"\D", "")) >= 7)
+    long_enough = F.filter(F.regexp_extract_all(text, F.lit(lexicon.ANY_PHONE), F.lit(0)), lambda m: F.length(F.regexp_replace(m, r"\D", "")) >= 7)
     return F.coalesce(home, F.regexp_replace(strip(F.get(long_enough, F.lit(0))), r"^[^\d+]+", ""))
 
 
 def links(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"https?://[^\s,)>\"']+|www\.[^\s,)>\"']+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(lexicon.LINK), F.lit(0))
     full = lambda pattern: F.concat(F.lit("https://"), first_match(text, pattern))
-    return F.struct(found.alias("urls"), full(r"(?i)linkedin\.com/in/[\w\-]+").alias("linkedin"), full(r"(?i)github\.com/[\w\-]+").alias("github"))
+    return F.struct(found.alias("urls"), full(lexicon.LINKEDIN).alias("linkedin"), full(lexicon.GITHUB).alias("github"))
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def _is_name(line: Column, skills: Column) -> Column:
+def _is_name(line: Column, skills: Sequence[str]) -> Column:
     low = F.lower(line)
-    blocked = F.exists(F.array(*(F.lit(w) for w in lexicon.NOT_IN_NAMES)), lambda w: F.contains(low, w))
     parts = _words(line)
     proper = F.forall(parts, lambda t: ~t.rlike("^[a-zA-Z]") | t.rlike("^[A-Z]"))
-    return ~blocked & ~line.rlike(r"[@|/\\0-9]") & F.size(parts).between(2, 4) & proper & ~F.exists(parts, lambda t: F.array_contains(skills, F.lower(t)))
+    known = F.exists(parts, lambda t: F.lower(t).isin(*skills)) if skills else F.lit(False)  # a hash set, however long the list
+    return ~low.rlike("|".join(lexicon.NOT_IN_NAMES)) & ~line.rlike(r"[@|/\\0-9]") & F.size(parts).between(2, 4) & proper & ~known
+
 
+def name(text: Column, skills: Sequence[str] = (), recogniser: Recogniser | None = None) -> Column:
+    """A line that reads like a name among the first five, else a recognised person, else such a line among the first eight.
 
-def name(text: Column, skills: Sequence[str] = ()) -> Column:
-    """A line that reads like a name among the first five, else, of four signs or more, among the first eight."""
-    known = F.array(*(F.lit(s) for s in skills)) if skills else F.array().cast(EMPTY_ARRAY)
+    The last step wants four signs or more. ``recogniser`` sees the first eight lines, 800 signs at most.
+    """
     # the leading lines are cut off first: a text may have many
-    lines = F.transform(F.slice(F.filter(lines_of(text), lambda x: strip(x) != ""), 1, 8), lambda x: strip(F.regexp_replace(x, "^[^a-zA-Z]+", "")))
-    valid = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda v: _is_name(v["x"], known) & ((v["i"] < 5) | (F.length(v["x"]) >= 4)))
-    return let(valid, lambda v: F.coalesce(F.get(F.filter(v, lambda y: y["i"] < 5), F.lit(0))["x"], F.get(v, F.lit(0))["x"]))
+    head = F.slice(F.filter(lines_of(text), lambda x: strip(x) != ""), 1, 8)
+    lines = F.transform(head, lambda x: strip(F.regexp_replace(x, "^[^a-zA-Z]+", "")))
+    valid = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda v: _is_name(v["x"], skills) & ((v["i"] < 5) | (F.length(v["x"]) >= 4)))
+    person = recogniser(F.substring(F.array_join(head, "\n"), 1, 800), "PERSON") if recogniser else F.lit(None).cast("string")
+    return F.coalesce(F.get(F.filter(valid, lambda y: y["i"] < 5), F.lit(0))["x"], person, F.get(valid, F.lit(0))["x"])
 
 
-def location(text: Column) -> Column:
-    """What follows an address label, else the first listed city with its neighbours."""
-    labelled = strip(first_match(text, r"(?i)(?:Address|Location|City|Residence|Based\s+in)\s*[:\-]\s*([^\n]{4,60})", 1))
-    usable = F.filter(
-        F.transform(lines_of(text), strip), lambda x: (x != "") & ~F.exists(F.array(*(F.lit(w) for w in lexicon.NOT_IN_LOCATION_LINES)), lambda w: F.contains(F.lower(x), w))
-    )
-    city = rf"(?i)\b(?:([A-Z][a-zA-Z]{{2,25}}(?:[\s\-][A-Z][a-zA-Z]{{2,25}})?\s*,\s*)?(?:{lexicon.CITIES})(?:,\s*[A-Z][a-zA-Z]+)?)\b"
+def location(text: Column, recogniser: Recogniser | None = None) -> Column:
+    """What follows an address label, else the first listed city with its neighbours, else a recognised place."""
+    labelled = strip(first_match(text, lexicon.LOCATION_LABEL, 1))
+    schools = "|".join(w.replace(".", "\\.") for w in lexicon.NOT_IN_LOCATION_LINES)
+    usable = F.filter(F.transform(lines_of(text), strip), lambda x: x.rlike(lexicon.CITY_LINE) & ~F.lower(x).rlike(schools))
 
     def repair(x: Column) -> Column:
         x = F.regexp_replace(strip(x), r"^[^\w]+", "")
-        x = F.regexp_replace(x, r"(?i)\b(?:Katenandta|Karthrrendu|Kathrresdu|Katesandu)\b", "Kathmandu")
-        return F.regexp_replace(x, r"(?i)\b(?:Marites|Maries|Martidevi)\b", "Maitidevi")
+        for pattern, to in lexicon.LOCATION_SPELLINGS:
+            x = F.regexp_replace(x, pattern, to)
+        return x
 
-    found = F.filter(F.transform(usable, lambda x: repair(F.regexp_extract(x, city, 0))), lambda x: F.length(x) >= 4)
-    return F.coalesce(labelled, F.get(found, F.lit(0)))
+    found = F.filter(F.transform(usable, lambda x: repair(F.regexp_extract(x, lexicon.CITY_LINE, 0))), lambda x: F.length(x) >= 4)
+    place = recogniser(F.substring(text, 1, 800), "PLACE") if recogniser else F.lit(None).cast("string")
+    return F.coalesce(labelled, F.get(found, F.lit(0)), place)
 
 
 def display_name(skill: str) -> str:
@@ -143,19 +148,28 @@ def dictionary_from(df: DataFrame, column: str = "skills") -> dict[str, str]:
     return {r.s: display_name(r.s) for r in rows}
 
 
+def _ruled(word: str) -> str:
+    return word.upper() if len(word) <= 3 else word[:1].upper() + word[1:]
+
+
 def skills(text: Column, dictionary: Mapping[str, str], most: int = MOST_SKILLS) -> Column:
     """Display names of the dictionary's entries that stand in the text as whole words, sorted, at most ``most``.
 
-    Plain words are looked up in the text's set of words; entries with other signs are searched only where they occur.
+    Plain words of the text are looked up in a hash set; entries with other signs are searched only where they occur.
     """
     low = F.lower(text)
-    plain = {s: d for s, d in dictionary.items() if s and all(c.isascii() and (c.isalnum() or c == "_") for c in s)}
+    plain = sorted(s for s in dictionary if s and all(c.isascii() and (c.isalnum() or c == "_") for c in s))
     found = F.array().cast(EMPTY_ARRAY)
     if plain:
-        table = F.create_map(*(F.lit(x) for pair in sorted(plain.items()) for x in pair))
-        words = F.array_distinct(F.split(low, r"[^a-z0-9_]+"))
-        found = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda d: d.isNotNull())
-    other = [(s, d) for s, d in sorted(dictionary.items()) if s and s not in plain]
+        words = F.filter(F.array_distinct(F.split(low, r"[^a-z0-9_]+")), lambda w: w.isin(*plain))
+        rule = lambda w: F.when(F.length(w) <= 3, F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
+        special = [(s, dictionary[s]) for s in plain if dictionary[s] != _ruled(s)]
+        if special:  # few: listed display names, read for the words found only
+            table = F.create_map(*(F.lit(x) for pair in special for x in pair))
+            found = F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), rule(w)))
+        else:
+            found = F.transform(words, rule)
+    other = [(s, d) for s, d in sorted(dictionary.items()) if s and s not in set(plain)]
     if other:
         quoted = lambda s: r"\b" + "".join("\\" + c if not c.isalnum() and c != " " else c for c in s) + r"\b"
         hits = [F.when(F.contains(low, F.lit(s)) & low.rlike(quoted(s)), F.lit(d)) for s, d in other]

@@ -43,6 +43,15 @@ DEGREES = (
     r"\bGraduated\s+with\s+NCEA[^\n]*",
 )
 DEGREE_ANCHORS = r"^\s*(?:bachelor|b\.?s\.?c?|b\.?e\.?|b\.?tech|b\.?a\.?|bsc|bca|bit|be|bs|bcom|master|m\.?s\.?c?|m\.?e\.?|m\.?tech|mba|mca|msc|ms|ph\.?d|doctor(?:ate)?|associate|diploma|certificate|high school|secondary|ssc|hsc|10\+2|intermediate|ncea|graduated with ncea)"
+#: What is cut off a degree, in order: pattern and what takes its place.
+DEGREE_TRIMS = (
+    (r"[\s,]*[\w.+\-]+@.*$", ""),
+    (r"[\s,]*@.*$", ""),
+    (r"^B?Sc\s+Ptora\)\s*", "BSc (Hons) "),
+    (r"[\s,|-]+[a-zA-Z]$", ""),
+    (r"[\s,|-]+$", ""),
+)
+NCEA_SCHOOL = r"(?:at|,)\s*([A-Z][a-zA-Z\s]+(?:College|School|Academy|High School)[\w\s,]*)"
 NOT_IN_DEGREES = (
     "kathmandu", "nepal", "maitidevi", "lalitpur", "pokhara", "new york", "london", "australia", "street", "lane", "avenue", "managed", "developed", "methods", "maintair", "maintained", "provided", "responsible", "lorem", "ipsum", "dolor", "consectetur",
 )
@@ -50,6 +59,23 @@ UNIVERSITY = (
     r"\b(?:(?:in\s+partnership\s+with\s+)?([A-Z][a-zA-Z\s\&\.\-]{2,40}\s+(?:University|College|Institute(?:\s+of\s+Technology)?|School|Academy|Polytechnic|Campus)(?:\s*\([^\)]+\))?(?:[\w\s,]*))|"
     r"(?:MIT|Stanford(?:\s+University)?|Harvard(?:\s+University)?|Oxford(?:\s+University)?|Cambridge(?:\s+University)?|Caltech|NYU|UCLA|CMU|UC\s+Berkeley|IIT\s+[A-Z][a-z]+|Columbia\s+University|Yale(?:\s+University)?|Princeton(?:\s+University)?))\b"
 )
+#: What is cut off a school's name, in order, and spellings to repair (case counts).
+UNIVERSITY_TRIMS = (
+    (r"(?i)\s+[\w.+\-]+@[\w.\-]+\.[a-zA-Z]{2,6}.*$", ""),
+    (r"(?i)^(?:in\s+partnership\s+with|partnenthip\s+with|partnership\s+with|affiliated\s+with|in\s+affiliation\s+with|and\s+|at\s+)\s*", ""),
+    (
+        r"(?i)^(?:with\s+)?(?:Artificial\s+Intelligence|Computer\s+Science|Software\s+Engineering|Data\s+Science|Information\s+Technology|Business\s+Administration|Mechanical\s+Engineering|Electrical\s+Engineering|Civil\s+Engineering)\s*",
+        "",
+    ),
+    (r"(?i)\s+(?:Current|Semester|GPA|\d{4}).*$", ""),
+    (r"\bBOUL\b", "(BCU)"),
+)
+UNIVERSITY_SPELLINGS = (
+    (r"\bOty\b", "City"),
+    (r"\bSurman\b|\bburnmay\b", "Sunway"),
+    (r"\bKarthrrendu\b|\bKathrresdu\b|\bKatenandta\b", "Kathmandu"),
+    (r"\bGemninghan\b|\bBerningharn\b", "Birmingham"),
+)
 GENERIC_SCHOOLS = ("college", "university", "institute", "school", "academy", "campus", "polytechnic")
 
 JOB_TITLE = (
@@ -62,14 +88,26 @@ JOB_TITLE = (
 MONTHS = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 SINGLE_DATE = rf"(?:{MONTHS}\s*[\.,\'-]?\s*\d{{2,4}}|\d{{1,2}}/\d{{2,4}}|\b(?:19|20)\d{{2}}\b)"
 PERIOD = rf"({SINGLE_DATE}\s*(?:[\-–—/~]+|\s+to\s+)\s*(?:{SINGLE_DATE}|(?:Present|Current|Ongoing|Now|Till\s*Date|To\s*Date)))"
-ACTION_VERBS = "created developed managed led assisted designed built provided maintained responsible worked organized collaborated implemented coordinated directed supervised analyzed achieved conducted established spearheaded oversaw supported resolved executed participated handled performed".split()
-ADDRESS_WORDS = frozenset("street lane road rd st ave avenue drive blvd boulevard way highway pkwy box po".split())
+ACTION_VERBS = (
+    "created", "developed", "managed", "led", "assisted", "designed", "built", "provided", "maintained", "responsible", "worked", "organized",
+    "collaborated", "implemented", "coordinated", "directed", "supervised", "analyzed", "achieved", "conducted", "established", "spearheaded",
+    "oversaw", "supported", "resolved", "executed", "participated", "handled", "performed",
+)
+ADDRESS_WORDS = frozenset((
+    "street", "lane", "road", "rd", "st", "ave", "avenue", "drive", "blvd", "boulevard", "way", "highway", "pkwy", "box", "po",
+))
 SECTION_WORDS = frozenset(("experience", "work experience", "employment history", "professional experience", "skills", "technical skills", "education", "profile", "contact", "summary", "references", "certifications", "projects"))
-ACADEMIC_WORDS = frozenset(
-    "graduated graduate graduation degree bachelor master phd diploma certificate certification secondary ncea gpa course courses curriculum syllabus subject geography history english science math mathematics physics chemistry biology "
-    "student class grade merit excellence endorsement endorsements honors honours academic school college university qualification studies".split()
-)
-STRONG_ACADEMIC_WORDS = frozenset("ncea gpa graduated degree diploma bachelor master endorsement excellence merit".split())
+ACADEMIC_WORDS = frozenset((
+    "graduated", "graduate", "graduation", "degree", "bachelor", "master", "phd", "diploma", "certificate", "certification", "secondary", "ncea",
+    "gpa", "course", "courses", "curriculum", "syllabus", "subject", "geography", "history", "english", "science", "math", "mathematics", "physics",
+    "chemistry", "biology", "student", "class", "grade", "merit", "excellence", "endorsement", "endorsements", "honors", "honours", "academic",
+    "school", "college", "university", "qualification", "studies",
+))
+STRONG_ACADEMIC_WORDS = frozenset((
+    "ncea", "gpa", "graduated", "degree", "diploma", "bachelor", "master", "endorsement", "excellence", "merit",
+))
+YEAR = r"\b(?:19|20)\d{2}\b"
+AT_COMPANY = r"^([A-Z][^@\d]{2,45}?)\s+(?:at|@)\s+([A-Z][^@\d]{2,50})(?:\s*[(\[]?(.*?)[)\]]?)?$"
 SCAN_NOISE = (r"\bAf,\b", r"\bSD\b", r"\bTT\b", r"\bGINS\b", r"\bDein\b", r"\bDain\b", r"\bmarwerIns\b", r"\brecunicat\b", r"\bwncuaces\b", r"\bAvml\b", r"\bSrophic\b", r"\burxcesen\b")
 FRAGMENT_STARTS = r"(?:and\b|to\b|the\b|a\b|an\b|in\b|of\b|for\b|with\b|on\b|aim\b|by\b|or\b|that\b|this\b|where\b|while\b|which\b|who\b|how\b|when\b|seeking\b|looking\b|passionate)"
 
@@ -77,15 +115,30 @@ CERTIFICATES = (
     r"\b(?:Machine\s+Learning\s+with\s+Python|Introduction\s+to\s+AI|Responsive\s+Web\s+Design|UI/UX\s+Design(?:\s+Basics)?|Git\s*&\s*GitHub(?:\s+Fundamentals)?|[A-Z][a-zA-Z0-9\s\&\.\-]{3,40}\s*-\s*(?:Coursera|Udemy|freeCodeCamp|edX|IBM|Google|Microsoft))\b[^\n]*",
     r"\b(?:Certified|Certificate(?:\s+in)?|Certification(?:\s+in)?|AWS\s+Certified|PMP|CPA|CISSP|CEH|CompTIA|Oracle|Microsoft|Google|Cisco)\b[^\n]{0,80}",
 )
-CERTIFICATE_NOISE = frozenset("nepal kathmandu maitidevi lalitpur bhaktapur contact phone email address mobile".split())
-CERTIFICATE_ANCHORS = frozenset(
-    "coursera udemy freecodecamp edx ibm google microsoft cisco oracle aws comptia certified certificate certification machine learning design python javascript responsive introduction fundamentals git github".split()
-)
+#: Contact details and scanning noise that no certificate contains.
+NOT_IN_CERTIFICATES = r"\b(?:contact|http|www|linkedin|github|gralicon|gralcon|gmail|\.com|trees)\b"
+CERTIFICATE_NOISE = frozenset((
+    "nepal", "kathmandu", "maitidevi", "lalitpur", "bhaktapur", "contact", "phone", "email", "address", "mobile",
+))
+CERTIFICATE_ANCHORS = frozenset((
+    "coursera", "udemy", "freecodecamp", "edx", "ibm", "google", "microsoft", "cisco", "oracle", "aws", "comptia", "certified", "certificate",
+    "certification", "machine", "learning", "design", "python", "javascript", "responsive", "introduction", "fundamentals", "git", "github",
+))
 
-LANGUAGES = frozenset(
-    "english hindi nepali nepal spanish french german chinese mandarin cantonese japanese korean arabic portuguese russian italian dutch turkish polish swedish danish norwegian finnish greek thai vietnamese indonesian malay tagalog bengali urdu "
-    "tamil telugu marathi gujarati punjabi kannada malayalam sinhala burmese khmer lao tibetan sanskrit pali newari maithili bhojpuri awadhi swahili amharic yoruba igbo hausa zulu czech slovak hungarian romanian bulgarian serbian croatian "
-    "bosnian albanian macedonian slovenian ukrainian belarusian georgian armenian azerbaijani persian farsi pashto dari kurdish hebrew afrikaans catalan basque galician welsh irish scottish gaelic latvian lithuanian estonian".split()
+LANGUAGES = frozenset((
+    "english", "hindi", "nepali", "nepal", "spanish", "french", "german", "chinese", "mandarin", "cantonese", "japanese", "korean", "arabic",
+    "portuguese", "russian", "italian", "dutch", "turkish", "polish", "swedish", "danish", "norwegian", "finnish", "greek", "thai", "vietnamese",
+    "indonesian", "malay", "tagalog", "bengali", "urdu", "tamil", "telugu", "marathi", "gujarati", "punjabi", "kannada", "malayalam", "sinhala",
+    "burmese", "khmer", "lao", "tibetan", "sanskrit", "pali", "newari", "maithili", "bhojpuri", "awadhi", "swahili", "amharic", "yoruba", "igbo",
+    "hausa", "zulu", "czech", "slovak", "hungarian", "romanian", "bulgarian", "serbian", "croatian", "bosnian", "albanian", "macedonian", "slovenian",
+    "ukrainian", "belarusian", "georgian", "armenian", "azerbaijani", "persian", "farsi", "pashto", "dari", "kurdish", "hebrew", "afrikaans",
+    "catalan", "basque", "galician", "welsh", "irish", "scottish", "gaelic", "latvian", "lithuanian", "estonian",
+))
+#: Signs before a language and levels after it.
+LANGUAGE_TRIMS = (
+    (r"^[+\-•*©°«\d\s()]+", ""),
+    (r"(?i)[\-–—/~]+\s*(?:Native|Professional|Fluent|Proficiency|Intermediate|Basic|Conversational).*$", ""),
+    (r"(?i)\s+(?:Native|Professional|Fluent|Intermediate|Basic|Conversational|Proficiency|Prfcercy|Professonal).*$", ""),
 )
 MISSPELT_LANGUAGES = {
     "exgith": "English", "engih": "English", "engish": "English", "englsh": "English", "engilsh": "English", "hind": "Hindi", "hinde": "Hindi", "hindl": "Hindi", "nepalr": "Nepali", "nepall": "Nepali", "nepa": "Nepali", "naive": "Native",
@@ -94,3 +147,21 @@ LANGUAGE_NOISE = frozenset(
     ("skills", "soft skills", "technical", "proficiency", "native", "professional", "vancuaces", "rececai", "naive", "communication", "creativity", "leadership", "teamwork", "problem solving", "fast learner", "time management", "adaptability", "collaboration", "presentation")
 )
 LANGUAGE_NOISE_STEMS = ("soft", "skill", "technic", "profic", "solving", "learner", "management", "adaptab", "collabor", "communicat", "creativ", "leadersh", "teamw")
+
+#: Patterns of single fields.
+EMAIL = r"[\w.+\-]+@[\w.\-]+\.[a-zA-Z]{2,6}"
+EMAIL_GAPS = r"(\w+)\s*[@©®]\s*([\w\-]+(?:\s*\.\s*[a-zA-Z]{2,6})+)"
+MISREAD_HOST = "@g(?:mai1|mall|maii|natcon|ralicaon|malicon|ralcon)"
+NOISY_EMAIL = r"(?i)([a-zA-Z0-9_\.\+\-]{3,35})\s*[@©®S\d\s]{1,5}\s*([a-zA-Z0-9_\.\-]{0,25}(?:gralicon|gralcon|gnaticom|gmalicon|gmail|yahoo|hotmail|outlook|com)(?:\.[a-zA-Z]{2,6})?)"
+KNOWN_HOSTS = "gmail|yahoo|hotmail|outlook|gralicon|gralcon|gmalicon|gnatcon|gnaticom"
+NATIONAL_PHONE = r"(?:\+?977[\s\-]?)?(?:98\d{8}|97\d{8}|01\d{7})\b"
+ANY_PHONE = r"(?:\+?\d{1,3}[\s\-\(\)]?)?\(?\d{2,4}\)?[\s\-\.]?\d{2,4}[\s\-\.]?\d{2,6}(?:\s?(?:#|x\.?|ext\.?|extension)\s?\d{1,5})?"
+LINK = r"https?://[^\s,)>\"']+|www\.[^\s,)>\"']+"
+LINKEDIN = r"(?i)linkedin\.com/in/[\w\-]+"
+GITHUB = r"(?i)github\.com/[\w\-]+"
+LOCATION_LABEL = r"(?i)(?:Address|Location|City|Residence|Based\s+in)\s*[:\-]\s*([^\n]{4,60})"
+CITY_LINE = rf"(?i)\b(?:([A-Z][a-zA-Z]{{2,25}}(?:[\s\-][A-Z][a-zA-Z]{{2,25}})?\s*,\s*)?(?:{CITIES})(?:,\s*[A-Z][a-zA-Z]+)?)\b"
+LOCATION_SPELLINGS = (
+    (r"(?i)\b(?:Katenandta|Karthrrendu|Kathrresdu|Katesandu)\b", "Kathmandu"),
+    (r"(?i)\b(?:Marites|Maries|Martidevi)\b", "Maitidevi"),
+)

@@ -7,16 +7,18 @@ All functions map null to null unless stated otherwise.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Set
 
 import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Members of a character class: every sign that counts as white space.
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Signs that a line of a list may begin with.
+BULLETS = r"\s•\-\*\>◆▪►●"
 #: Members of a character class: letters, numbers, underscore.
 WORD = r"\p{L}\p{N}_"
 EMAIL = rf"[{WORD}.\-+]+@[{WORD}.\-]+\.[a-zA-Z]{{2,}}"
@@ -130,13 +132,57 @@ def stop_words(spark: SparkSession) -> list[str]:
     return sorted(set(words) - set(KEPT_STOP_WORDS))
 
 
-def lemma(word: Column, lexicon: Column) -> Column:
-    """Noun form by detachment rules, accepted if the lexicon (an array column) has it; else the word itself."""
-    found = F.lit(None).cast("string")
-    for ending, base in reversed(NOUN_ENDINGS):
-        candidate = F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(base))
-        found = F.when(word.endswith(ending) & F.array_contains(lexicon, candidate), candidate).otherwise(found)
-    return F.coalesce(F.when(F.array_contains(lexicon, word), word), found, word)
+def base_form(word: str, lexicon: Set[str]) -> str:
+    """Noun form by detachment rules, accepted if the lexicon has it; else the word itself."""
+    if word in lexicon:
+        return word
+    candidates = (word[: len(word) - len(ending)] + base for ending, base in NOUN_ENDINGS if word.endswith(ending))
+    return next((c for c in candidates if c in lexicon), word)
+
+
+def lemmas(words: Column, lexicon: Iterable[str]) -> Column:
+    """Base forms of an array of words, in Arrow batches: the lexicon is a hash set in each worker."""
+    known = frozenset(lexicon)
+
+    @F.pandas_udf("array<string>")
+    def reduce(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda found: None if found is None else [base_form(w, known) for w in found])
+
+    return reduce(words)
+
+
+def lexicon_from(df: DataFrame, words: str, least: int = 2, most: int = 200_000) -> list[str]:
+    """A lexicon of the words that stand in at least ``least`` rows of an array column; its size is checked."""
+    rows = df.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").count().where(F.col("count") >= least).select("w").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the lexicon has more than {most} words")
+    return [r.w for r in rows]
+
+
+def word_tokens(text: Column) -> Column:
+    """Lower-case words of a text without punctuation, listed contractions in two."""
+    t = normalize_whitespace(F.lower(text))
+    for whole, parts in CONTRACTIONS.items():
+        t = F.when(F.contains(t, F.lit(whole)), F.regexp_replace(t, rf"\b{whole}\b", parts)).otherwise(t)
+    return tokens(t)
+
+
+def without_stop_words(words: Column, stop: Iterable[str]) -> Column:
+    """Words that are neither in the list, looked up in a hash set, nor single letters."""
+    listed = list(stop)
+    return F.filter(words, lambda w: ~w.isin(*listed) & (F.length(w) > 1)) if listed else F.filter(words, lambda w: F.length(w) > 1)
+
+
+def strip_bullets(text: Column) -> Column:
+    """Without bullets at the head of lines, runs of white space as one space."""
+    return normalize_whitespace(F.regexp_replace(text, rf"(?md)^[{BULLETS}]+", ""))
+
+
+def classification_words(text: Column, stop: Iterable[str]) -> Column:
+    """The words that full cleaning leaves; blank or null gives none."""
+    t = fold(remove_html(F.coalesce(text, F.lit(""))))
+    t = F.lower(remove_punctuation(mark_phones(mark_emails(remove_urls(t)))))
+    return without_stop_words(word_tokens(remove_numbers(t)), stop)
 
 
 def clean_for_classification(text: Column, stop: Iterable[str], lexicon: Iterable[str] | None = None) -> Column:
@@ -144,14 +190,10 @@ def clean_for_classification(text: Column, stop: Iterable[str], lexicon: Iterabl
 
     ``lexicon``: the base forms that lemmas may become; without one words stay as they are.
     """
-    t = fold(remove_html(F.coalesce(text, F.lit(""))))
-    t = F.lower(remove_punctuation(mark_phones(mark_emails(remove_urls(t)))))
-    t = normalize_whitespace(remove_numbers(t))
-    for whole, parts in CONTRACTIONS.items():
-        t = F.regexp_replace(t, rf"\b{whole}\b", parts)
-    dropped = F.array(*(F.lit(w) for w in stop))
-    kept = F.filter(tokens(t), lambda w: ~F.array_contains(dropped, w) & (F.length(w) > 1))
-    if lexicon is not None:
-        base = F.array(*(F.lit(w) for w in lexicon))
-        kept = F.transform(kept, lambda w: lemma(w, base))
-    return F.array_join(kept, " ")
+    words = classification_words(text, stop)
+    return F.array_join(words if lexicon is None else lemmas(words, lexicon), " ")
+
+
+def register(spark: SparkSession) -> None:
+    """Make the functions that no built-in expresses callable from SQL: fold_text(text)."""
+    spark.udf.register("fold_text", fold)

@@ -15,8 +15,11 @@ CHECKS = (
     ("Education", 10, "Education section appears to be present.", "Include education details, especially your degree, institution, and graduation year."),
     ("Experience", 20, "Work experience is visible.", "Add a clear experience section with company names, roles, and dates."),
 )
+#: Two more messages, and the tip that goes with a score below 70.
 LOOKS_STRONG = "Your CV structure looks strong. Consider adding measurable outcomes and achievements to improve impact."
 ROLE_KEYWORDS = "Use role-specific keywords from the target job description to improve category matching and recruiter relevance."
+LOW_SCORE = 70
+TIP = "Add measurable achievements, stronger skills, and clearer job-role keywords to improve recruiter fit."
 #: Keywords of a category; any other takes the default.
 KEYWORDS = {
     "HEALTHCARE": ["patient care", "clinical support", "medical terminology", "health records", "HIPAA", "team collaboration"],
@@ -26,6 +29,7 @@ KEYWORDS = {
     "IT": ["cloud", "sql", "python", "api", "agile", "project delivery"],
     "DENTIST": ["patient care", "dental procedures", "oral health", "treatment planning", "clinical dentistry", "infection control"],
 }
+#: Keywords of any other category.
 DEFAULT_KEYWORDS = ["leadership", "communication", "problem solving", "teamwork", "results", "stakeholder management"]
 #: Sentences to write, by category.
 SENTENCES = {
@@ -45,6 +49,7 @@ SENTENCES = {
         "Improved healthcare service delivery by coordinating patient support, documentation, and operational efficiency.",
     ],
 }
+#: Sentences for any other category.
 DEFAULT_SENTENCES = [
     "Improved patient care and clinical support by delivering high-quality service in a fast-paced healthcare setting.",
     "Led cross-functional teamwork to improve service quality, patient satisfaction, and operational efficiency.",
@@ -92,6 +97,7 @@ def recommendations(name: Column, email: Column, phone: Column, location: Column
     return F.struct(
         category.alias("category"), ats.alias("ats_score"), match.alias("job_match_score"), F.slice(listed(advice), 1, 4).alias("recommendations"), keywords.alias("keywords"), gap.alias("keyword_gap"),
         listed(missing).alias("missing_sections"), listed(strengths).alias("strengths"), _by_category(key, SENTENCES, DEFAULT_SENTENCES).alias("writing_suggestions"),
+        F.when(ats < LOW_SCORE, F.lit(TIP)).alias("tip"),
     )
 
 
@@ -112,14 +118,18 @@ def degree_parts(degree: Column) -> Column:
     return F.struct(F.trim(F.get(cut, F.lit(0))).alias("title"), F.trim(F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).alias("institution"))
 
 
-def formatted(r: str = "") -> Column:
-    """A record as labelled lines with bullets; empty fields leave no line."""
-    line = lambda label, c: F.when(F.coalesce(F.col(c) != "", F.lit(False)), F.concat(F.lit(f"{label}: "), F.col(c)))
+def formatted(columns: list[str]) -> Column:
+    """A record as labelled lines with bullets, of the columns it has; empty fields leave no line."""
+    line = lambda label, c: F.when(F.coalesce(c != "", F.lit(False)), F.concat(F.lit(f"{label}: "), c))
 
-    def block(label: str, c: str) -> Column:
-        bullets = F.array_join(F.transform(F.col(c), lambda x: F.concat(F.lit("  • "), x)), "\n")
+    def block(label: str, c: Column) -> Column:
+        bullets = F.array_join(F.transform(c, lambda x: F.concat(F.lit("  • "), x)), "\n")
         return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.concat(F.lit(f"{label}:\n"), bullets))
 
-    return F.concat_ws(
-        "\n", line("Name", "name"), line("Email", "email"), line("Phone", "phone"), line("Location", "location"), block("Skills", "skills"), block("Degree(s)", "degrees"), block("University/College", "universities"), block("Job Title(s)", "job_titles")
-    )
+    parts = [line(label, F.col(c)) for label, c in (("Name", "name"), ("Email", "email"), ("Phone", "phone"), ("Location", "location")) if c in columns]
+    if "links" in columns:
+        parts += [line("LinkedIn", F.col("links.linkedin")), line("GitHub", F.col("links.github"))]
+    lists = (
+        ("Skills", "skills"), ("Degree(s)", "degrees"), ("University/College", "universities"), ("Job Title(s)", "job_titles"), ("Organization(s)", "organizations"), ("Certifications", "certifications"), ("Languages", "languages"),
+    )
+    return F.concat_ws("\n", *parts, *(block(label, F.col(c)) for label, c in lists if c in columns))

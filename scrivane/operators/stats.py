@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scrivane.functions.text import quick_tokens, word_count
 
+#: Hash ranges that a label is ranked in; a power of two, 65,536 at most.
+CELLS = 1024
+
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     counts = df.agg(*(F.sum(F.col(c).isNull().cast("long")).alias(c) for c in columns))
@@ -75,13 +78,21 @@ def stable_sample(df: DataFrame, key: str, most: int = 500, seed: int = 42) -> D
 
 
 def stratified_split(df: DataFrame, key: str, label: str, train: float = 0.7, seed: int = 42) -> DataFrame:
-    """train, validation and test per label, in the order of a hash: 70 %, then half of the rest each."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
-    size = F.count("*").over(Window.partitionBy(label))
-    cut = F.floor(size * train + 0.5)
-    half = F.floor((size - cut) * 0.5 + 0.5)
-    row = F.row_number().over(order)
-    return df.withColumn("split", F.when(row <= cut, "train").when(row <= cut + half, "validation").otherwise("test"))
+    """train, validation and test per label, in the order of a hash: 70 %, then half of the rest each.
+
+    A row's rank in its label is the number of rows in lower hash cells, from one small count table, plus its rank in its
+    own cell, so that a label of any size is ranked by ``CELLS`` tasks. A null label is a label.
+    """
+    code = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = df.withColumn("_code", code).withColumn("_cell", (F.conv(F.substring("_code", 1, 4), 16, 10).cast("int") / (65536 // CELLS)).cast("int"))
+    cells = rows.groupBy(F.col(label).alias("_label"), F.col("_cell").alias("_of")).agg(F.count("*").alias("_n"))
+    lower = Window.partitionBy("_label").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_label", "_of", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_label")).alias("_size"))
+    row = F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_code", key)) + F.col("_before")
+    cut = F.floor(F.col("_size") * train + 0.5)
+    half = F.floor((F.col("_size") - cut) * 0.5 + 0.5)
+    placed = rows.join(cells, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_cell") == F.col("_of"))).withColumn("_row", row)
+    return placed.select(*df.columns, F.when(F.col("_row") <= cut, "train").when(F.col("_row") <= cut + half, "validation").otherwise("test").alias("split"))
 
 
 def labels(df: DataFrame, column: str) -> DataFrame:

@@ -1,37 +1,72 @@
-"""One plan from raw text to record, gate and recommendations; it runs unchanged over batch and streaming tables."""
+"""One plan from raw text to gate, prediction, record and recommendations; it runs unchanged over batch and streaming tables."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.functions import extract, folds, quality, text
+from scrivane.functions import credentials, experience, extract, quality, text
+from scrivane.functions.extract import Recogniser
 from scrivane.operators.recommend import recommendations
 
+SECTIONS = ("education", "experience", "certifications", "languages")
+RECORD = ("name", "email", "phone", "location", "skills", "degrees", "universities", "job_titles", "experience_entries")
 
-def records(docs: DataFrame, dictionary: Mapping[str, str], key: str = "id", column: str = "resume_str", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The record of each document: light cleaning first, then every field in one projection and one Arrow pass."""
-    clean = docs.select(F.col(key), *keep, text.clean_for_extraction(F.col(column)).alias("clean"))
-    t = F.col("clean")
-    folded = clean.withColumn("folded", folds.fields(t, dictionary))
+
+def outlined(docs: DataFrame, column: str = "resume_str", *keep: str) -> DataFrame:
+    """(kept columns, clean, parts): the lightly cleaned text and the sections that fields read, all computed once."""
+    clean = docs.select(*keep, text.clean_for_extraction(F.col(column)).alias("clean"))
+    cut = clean.withColumn("pieces", extract.headed(F.col("clean")))
+    return cut.select(*keep, "clean", F.struct(*(extract.section_of(F.col("pieces"), k).alias(k) for k in SECTIONS)).alias("parts"))
+
+
+def records(docs: DataFrame, dictionary: Mapping[str, str], key: str = "id", column: str = "resume_str", keep: tuple[str, ...] = (), recogniser: Recogniser | None = None) -> DataFrame:
+    """The record of each document: light cleaning, sections, then every field; only experience crosses into Python.
+
+    ``recogniser``, if given, names people, places and firms where the rules find none.
+    """
+    t, parts = F.col("clean"), F.col("parts")
+    rows = outlined(docs, column, key, *keep).withColumn("work", experience.experience(experience.source_of(t, parts), dictionary))
     blank = t == ""
-    return folded.select(
-        key, *keep, F.when(~blank, extract.name(t, list(dictionary))).alias("name"), F.when(~blank, extract.email(t)).alias("email"), F.when(~blank, extract.phone(t)).alias("phone"), F.when(~blank, extract.location(t)).alias("location"),
-        extract.links(t).alias("links"), extract.skills(t, dictionary).alias("skills"), "folded.degrees", "folded.universities", "folded.job_titles", "folded.organizations", "folded.experience_entries",
-        "folded.certifications", "folded.languages", F.when(blank, "Empty resume text provided.").alias("error"),
+    firms = F.col("work.organizations")
+    if recogniser:
+        named = F.filter(F.array(recogniser(F.substring(parts["experience"], 1, 2500), "FIRM")), lambda x: x.isNotNull())
+        firms = F.when((F.size(firms) == 0) & (parts["experience"] != ""), named).otherwise(firms)
+    rows = rows.withColumn("school", credentials.education(t, parts["education"]))
+    return rows.select(
+        key, *keep, F.when(~blank, extract.name(t, list(dictionary), recogniser)).alias("name"), F.when(~blank, extract.email(t)).alias("email"), F.when(~blank, extract.phone(t)).alias("phone"),
+        F.when(~blank, extract.location(t, recogniser)).alias("location"), extract.links(t).alias("links"), extract.skills(t, dictionary).alias("skills"), "school.degrees", "school.universities", "work.job_titles",
+        firms.alias("organizations"), "work.experience_entries", credentials.certifications(t, parts["certifications"]).alias("certifications"), credentials.languages(parts["languages"]).alias("languages"),
+        F.when(blank, "Empty resume text provided.").alias("error"),
     )
 
 
-def analyzed(docs: DataFrame, dictionary: Mapping[str, str], key: str = "id", column: str = "resume_str", category: str = "category") -> DataFrame:
-    """Gate, record and recommendations of each document; what the gate stops keeps its row, without a score."""
-    gated = docs.withColumn("gate_status", quality.gate_status(F.col(column)))
-    out = records(gated, dictionary, key, column, ("gate_status", category))
-    rec = recommendations(*(F.col(c) for c in ("name", "email", "phone", "location", "skills", "degrees", "universities", "job_titles", "experience_entries", category)))
-    return out.withColumn("recommendation", F.when(F.col("gate_status") == "ok", rec))
+def analyzed(
+    docs: DataFrame, dictionary: Mapping[str, str], key: str = "id", column: str = "resume_str", category: str = "category", source: str | None = None, predict: Callable[[DataFrame, str], DataFrame] | None = None, recogniser: Recogniser | None = None
+) -> DataFrame:
+    """Gate, prediction, record and recommendations of each document.
+
+    What the gate stops keeps its row, with a null text from there on: no pattern and no model sees it. ``predict`` adds
+    (predicted_category, confidence, top_3, other_categories, prediction_error), see ``operators.models.Predictor``; with it the
+    predicted category decides the recommendations, without it the ``category`` column does. ``source`` names a column
+    that says where a text came from.
+    """
+    gate = F.col("gate_status")
+    gated = docs.withColumn("gate_status", quality.gate_status(F.col(column))).withColumn(column, F.when(gate == "ok", F.col(column)))
+    keep = ["gate_status", category, *([source] if source else [])]
+    if predict:
+        gated = predict(gated, column)
+        for c in ("predicted_category", "confidence", "top_3", "other_categories", "prediction_error"):
+            gated = gated.withColumn(c, F.when(gate == "ok", F.col(c)))
+        keep += ["predicted_category", "confidence", "top_3", "other_categories", "prediction_error"]
+    out = records(gated, dictionary, key, column, tuple(keep), recogniser)
+    rec = recommendations(*(F.col(c) for c in RECORD), F.col("predicted_category") if predict else F.col(category))
+    return out.withColumn("recommendation", F.when(gate == "ok", rec))
 
 
 def export(analysis: DataFrame, key: str = "id") -> DataFrame:
-    """One JSON document per row."""
-    return analysis.select(key, F.to_json(F.struct(*(c for c in analysis.columns if c != key))).alias("json"))
+    """One JSON document per row; a confidence is rounded to four places."""
+    columns = [F.round("confidence", 4).alias(c) if c == "confidence" else F.col(c) for c in analysis.columns if c != key]
+    return analysis.select(key, F.to_json(F.struct(*columns)).alias("json"))

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.functions import extract, folds, quality, text
+from scrivane.functions import credentials, experience, extract, quality, text
 from scrivane.operators import features, metrics, models, recommend, stats
 from scrivane.plans import analyze
-from scrivane.runtime import shuffle_width, spread, table
+from scrivane.runtime import spread, table
 from scrivane.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,8 +52,20 @@ _RESUME = "(SELECT DISTINCT * FROM resume)"
 
 
 def resumes(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Resumes once each, of the named columns."""
-    return table(spark, folder, "resume").select("id", *columns).dropDuplicates(["id"])
+    """Resumes once each, of the named columns; of rows of one id the first in file order stays.
+
+    Which rows are repeats is found on ids and row numbers alone; the texts are read once and not shuffled while the
+    repeats are few enough for a join that the optimizer may broadcast.
+    """
+    rows = table(spark, folder, "resume")
+    if set(columns) <= {"category"}:
+        return rows.select("id", *columns).dropDuplicates(["id"])
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r"))
+    places = rows.select("id", place.alias("place"))
+    repeated = places.groupBy("id").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1").select("id", "first")
+    found = spread(rows.select("id", *columns, place.alias("place")), "id")
+    joined = found.join(repeated.withColumnRenamed("id", "again"), (F.col("id") == F.col("again")) & (F.col("place") != F.col("first")), "left_anti")
+    return joined.select("id", *columns)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,10 +242,28 @@ def classification_clean(spark, folder):
 
 
 def classified_text(spark: SparkSession, folder: str) -> DataFrame:
-    rows = resumes(spark, folder, "resume_str", "category").repartition(shuffle_width(spark), "id")
+    rows = resumes(spark, folder, "resume_str", "category")
     return rows.select("id", category().alias("category"), text.clean_for_classification(F.col("resume_str"), text.stop_words(spark)).alias("clean"))
 
 
+@query()
+def word_tokens(spark, folder):
+    plain = text.remove_punctuation(F.col("text"))
+    return documents(spark, folder).where("text is not null").select("doc_id", F.array_join(text.word_tokens(plain), " ").alias("words"))
+
+
+@query()
+def lemma_clean(spark, folder):
+    """Full cleaning with lemmas; the lexicon is what two resumes or more have."""
+    rows = resumes(spark, folder, "resume_str").select("id", text.classification_words(F.col("resume_str"), text.stop_words(spark)).alias("words"))
+    return rows.select("id", F.array_join(text.lemmas(F.col("words"), text.lexicon_from(rows, "words")), " ").alias("clean"))
+
+
+@query()
+def bullets_stripped(spark, folder):
+    return documents(spark, folder).select("doc_id", text.strip_bullets(F.col("text")).alias("text"))
+
+
 # --- quality ----------------------------------------------------------------------------------------------------------
 
 _FLAG = f"""WITH c AS (SELECT doc_id, text, {_COLLAPSE('text')} AS x FROM documents),
@@ -256,19 +286,26 @@ def gate_status(spark, folder):
 # --- extraction -------------------------------------------------------------------------------------------------------
 
 
+def outlined(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, clean, parts): lightly cleaned resumes and their sections."""
+    return analyze.outlined(resumes(spark, folder, "resume_str"), "resume_str", "id")
+
+
 def clean_resumes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = resumes(spark, folder, "resume_str").repartition(shuffle_width(spark), "id")
-    return rows.select("id", text.clean_for_extraction(F.col("resume_str")).alias("t"))
+    return resumes(spark, folder, "resume_str").select("id", text.clean_for_extraction(F.col("resume_str")).alias("t"))
 
 
 def skill_dictionary(spark: SparkSession, folder: str) -> dict[str, str]:
     return extract.dictionary_from(table(spark, folder, "extracted_record"))
 
 
+_ALL_SECTIONS = ("skills", "education", "experience", "certifications", "languages", "soft_skills", "projects", "summary")
+
+
 @query()
 def section_text(spark, folder):
-    t = clean_resumes(spark, folder)
-    return t.select("id", *(extract.section(F.col("t"), k).alias(k) for k in ("skills", "education", "experience", "certifications", "languages", "soft_skills", "projects", "summary")))
+    pieces = clean_resumes(spark, folder).select("id", extract.headed(F.col("t")).alias("p"))
+    return pieces.select("id", *(extract.section_of(F.col("p"), k).alias(k) for k in _ALL_SECTIONS))
 
 
 @query()
@@ -308,42 +345,56 @@ def skills(spark, folder):
 
 @query()
 def education(spark, folder):
-    return folded(spark, folder).select("id", "f.degrees", "f.universities", "f.education_section")
+    return outlined(spark, folder).select("id", credentials.education(F.col("clean"), F.col("parts.education")).alias("e")).select("id", "e.*")
 
 
 @query()
 def experience_entries(spark, folder):
-    return folded(spark, folder).select("id", "f.experience_entries", "f.job_titles", "f.organizations")
+    rows = outlined(spark, folder)
+    return rows.select("id", experience.experience(experience.source_of(F.col("clean"), F.col("parts")), skill_dictionary(spark, folder)).alias("w")).select("id", "w.*")
 
 
 @query()
 def certifications(spark, folder):
-    return folded(spark, folder).select("id", "f.certifications")
+    return outlined(spark, folder).select("id", credentials.certifications(F.col("clean"), F.col("parts.certifications")).alias("certifications"))
 
 
 @query()
 def languages(spark, folder):
-    return folded(spark, folder).select("id", "f.languages")
-
-
-def folded(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_resumes(spark, folder).select("id", folds.fields(F.col("t"), skill_dictionary(spark, folder)).alias("f"))
+    return outlined(spark, folder).select("id", credentials.languages(F.col("parts.languages")).alias("languages"))
 
 
 @query()
 def extract_all(spark, folder):
-    return analyze.records(resumes(spark, folder, "resume_str").repartition(shuffle_width(spark), "id"), skill_dictionary(spark, folder))
+    return analyze.records(resumes(spark, folder, "resume_str"), skill_dictionary(spark, folder))
 
 
 @query()
 def analyze_all(spark, folder):
-    rows = resumes(spark, folder, "resume_str", "category").repartition(shuffle_width(spark), "id")
-    return analyze.analyzed(rows, skill_dictionary(spark, folder))
+    return analyze.analyzed(resumes(spark, folder, "resume_str", "category"), skill_dictionary(spark, folder))
+
+
+def predictor(spark: SparkSession, folder: str, name: str = "naive_bayes") -> models.Predictor:
+    made = model_data(spark, folder)
+    return models.Predictor(models.fit(name, made.data, len(made.labels)), made.vocabulary, made.labels)
+
+
+@query()
+def predict_resumes(spark, folder):
+    """Every resume's predicted category, confidence, first three and ranks two to five; blank texts are Unknown."""
+    return predictor(spark, folder)(resumes(spark, folder, "resume_str"), "resume_str").drop("resume_str")
+
+
+@query()
+def analyze_predicted(spark, folder):
+    """The whole analysis as an application shows it: gate, prediction, record, advice for the predicted category."""
+    rows = resumes(spark, folder, "resume_str", "category").withColumn("input_source", F.lit("table"))
+    return analyze.analyzed(rows, skill_dictionary(spark, folder), source="input_source", predict=predictor(spark, folder))
 
 
 @query()
 def json_export(spark, folder):
-    return analyze.export(analyze_all(spark, folder))
+    return analyze.export(analyze_predicted(spark, folder))
 
 
 # --- recommendations --------------------------------------------------------------------------------------------------
@@ -382,9 +433,12 @@ def recommendations(spark, folder):
     return scored(spark, folder)
 
 
+_RECORD_COLUMNS = ["name", "email", "phone", "location", "skills", "degrees", "universities", "job_titles"]
+
+
 @query()
 def record_text(spark, folder):
-    return stats.distinct_rows(table(spark, folder, "extracted_record")).select("resume_id", recommend.formatted().alias("text"))
+    return stats.distinct_rows(table(spark, folder, "extracted_record")).select("resume_id", recommend.formatted(_RECORD_COLUMNS).alias("text"))
 
 
 @query()
@@ -401,25 +455,25 @@ _TERMS = f"""WITH one AS (SELECT id AS doc, list_filter(regexp_extract_all(lower
     n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM one), v AS (SELECT term, df, total, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, n WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 15000)"""
 
 
-def counted(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    rows = resumes(spark, folder, "resume_str").where("resume_str is not null").repartition(shuffle_width(spark), "id")
-    return features.term_counts(rows, "id", "resume_str"), rows.count()
+def written(spark: SparkSession, folder: str) -> DataFrame:
+    return resumes(spark, folder, "resume_str").where("resume_str is not null")
 
 
 @query(_TERMS + " SELECT term, df, total FROM df")
 def document_frequency(spark, folder):
-    return features.document_frequency(counted(spark, folder)[0])
+    return features.document_frequency(written(spark, folder), "resume_str")
 
 
 @query(_TERMS + " SELECT term, df, total, round(idf, 6) AS idf FROM v")
 def vocab_topk(spark, folder):
-    return features.vocabulary(*counted(spark, folder)).select("term", "df", "total", F.round("idf", 6).alias("idf"))
+    n = resumes(spark, folder, "resume_str").where("resume_str is not null").count()
+    return features.vocabulary(document_frequency(spark, folder), n).select("term", "df", "total", F.round("idf", 6).alias("idf"))
 
 
 @query(_TERMS + " SELECT doc, term, round((1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY doc)), 6) AS weight FROM tf JOIN v USING (term)")
 def tfidf_weights(spark, folder):
-    counts, n = counted(spark, folder)
-    return features.tfidf(counts, features.vocabulary(counts, n)).select("doc", "term", F.round("weight", 6).alias("weight"))
+    rows = written(spark, folder)
+    return features.tfidf(rows, "id", "resume_str", features.fit(rows, "resume_str")).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS label, category FROM (SELECT DISTINCT upper({_STRIP('category')}) AS category FROM resume WHERE category IS NOT NULL)")
@@ -459,44 +513,44 @@ def split_counts(spark, folder):
     b AS (SELECT doc, category AS predicted, row_number() OVER (PARTITION BY doc ORDER BY score DESC, category) AS r FROM sc)
     SELECT d.doc, d.category, d.split, b.predicted FROM d JOIN b ON d.doc = b.doc WHERE r = 1""")
 def nb_predict(spark, folder):
-    rows = resumes(spark, folder, "resume_str").where("resume_str is not null").join(split(spark, folder), "id")
-    words = F.filter(F.split(F.lower("resume_str"), "[^a-z]+"), lambda t: F.length(t) > 2)
-    return models.relational_naive_bayes(rows.withColumn("tokens", words), "id", "tokens", "category", "split").select("doc", "category", "split", "predicted")
+    rows = written(spark, folder).join(split(spark, folder), "id")
+    return models.relational_naive_bayes(rows, "id", "resume_str", "category", "split")
 
 
-def model_data(spark: SparkSession, folder: str, size: int = 15_000):
+def model_data(spark: SparkSession, folder: str, size: int = 15_000) -> models.Prepared:
     return models.prepared(classified_text(spark, folder), "id", "clean", "category", size)
 
 
+def modelled(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    made = model_data(spark, folder)
+    return models.predictions(models.fit(name, made.data, len(made.labels)), made.data, made.labels)
+
+
 @query()
 def logistic_regression(spark, folder):
-    data, labels = model_data(spark, folder)
-    return models.predictions(models.fit("logistic_regression", data, labels.count()), data, labels)
+    return modelled(spark, folder, "logistic_regression")
 
 
 @query()
 def naive_bayes(spark, folder):
-    data, labels = model_data(spark, folder)
-    return models.predictions(models.fit("naive_bayes", data, labels.count()), data, labels)
+    return modelled(spark, folder, "naive_bayes")
 
 
 @query()
 def random_forest(spark, folder):
     """200 trees of depth 30, the deepest that Spark grows, over 15,000 terms."""
-    data, labels = model_data(spark, folder)
-    return models.predictions(models.fit("random_forest", data, labels.count()), data, labels)
+    return modelled(spark, folder, "random_forest")
 
 
 @query()
 def linear_svm(spark, folder):
-    data, labels = model_data(spark, folder)
-    return models.predictions(models.fit("linear_svm", data, labels.count()), data, labels)
+    return modelled(spark, folder, "linear_svm")
 
 
 @query()
 def model_comparison(spark, folder):
-    data, labels = model_data(spark, folder)
-    return models.compare(data, labels)
+    """All four models on the validation split."""
+    return models.compare(model_data(spark, folder))
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scrivane.functions import extract, folds
+from scrivane.functions import credentials, experience, extract, lexicon
 from scrivane.plans import analyze
 
 SKILLS = {s: extract.display_name(s) for s in ("python", "c", "c++", "3d modeling", "e-learning", "sql", "golang", "go", "machine learning", "excel", "self-motivated")}
@@ -17,12 +17,11 @@ def one(spark, value, f):
 )
 def test_experience_section(spark, given, want):
     assert one(spark, given, lambda c: extract.section(c, "experience")) == want
-    assert folds.section(given, "experience") == want
 
 
 def test_header_line_is_left_out(spark):
     assert one(spark, "Skills: Python", lambda c: extract.section(c, "skills")) == ""
-    assert one(spark, "Skills\nPython, SQL\nx - y", lambda c: extract.split_items(extract.section(c, "skills"))) == folds.split_items("Python, SQL\nx - y")
+    assert one(spark, "Skills\nPython, SQL\nx - y", lambda c: extract.split_items(extract.section(c, "skills"))) == ["Python", "SQL"]
 
 
 @pytest.mark.parametrize(
@@ -66,38 +65,52 @@ def test_skills(spark, given, want):
     assert one(spark, given, lambda c: extract.skills(c, SKILLS)) == want
 
 
-def test_education():
+def test_education(spark):
     text = "Education\nB.Sc. in Physics\nBachelor of Arts in History, 2010. Honours\nMBA in Finance, Oakdale University\nNCEA Level 3 with Merit at Hill College\nAvondale Polytechnic, Leeds\nSkills\nx"
-    degrees, schools, part = folds.education(text)
-    assert degrees == ["Bachelor of Arts in History, 2010", "MBA in Finance, Oakdale University", "NCEA Level 3 with Merit — Hill College"]
-    assert "Avondale Polytechnic, Leeds" in schools[-1] and part.startswith("B.Sc.")
+    got = one(spark, text, lambda c: credentials.education(c, extract.section(c, "education")))
+    assert got.degrees == ["Bachelor of Arts in History, 2010", "MBA in Finance, Oakdale University", "NCEA Level 3 with Merit — Hill College"]
+    assert "Avondale Polytechnic, Leeds" in got.universities[-1] and got.education_section.startswith("B.Sc.")
 
 
 @pytest.mark.parametrize(
     ("lines", "want"),
     [
-        ("Data Analyst | Acme Works | Jan 2020 - Dec 2021", ("Data Analyst", "Acme Works", "Jan 2020 - Dec 2021")),
-        ("Software Engineer at Blue Works (2019 - Present)", ("Software Engineer", "Blue Works", "")),
-        ("Marketing Manager\nRed Hill Group\n2015 - 2018", ("Marketing Manager", "Red Hill Group", "2015 - 2018")),
-        ("Graphic Designer\nGreen Studio\nsome plain words about nothing much at all here", ("Graphic Designer", "Green Studio", "")),
+        ("Data Analyst | Acme Works | Jan 2020 - Dec 2021", [("Data Analyst", "Acme Works", "Jan 2020 - Dec 2021")]),
+        ("Acme Works | Data Analyst", [("Data Analyst", "Acme Works", "")]),
+        ("Software Engineer at Blue Works", [("Software Engineer", "Blue Works", "")]),
+        ("Software Engineer at Blue Works\nJan 2019 - Present", [("Software Engineer", "Blue Works", "")]),
+        ("Marketing Manager\nRed Hill Group\n2015 - 2018", [("Marketing Manager", "Red Hill Group", "2015 - 2018")]),
+        ("Marketing Manager 2015 - 2018\nRed hill Group", [("Marketing Manager", "Red hill Group", "2015 - 2018")]),
+        ("Marketing Manager 2015 - 2018\nRed Hill Group", [("Marketing Manager", "", "2015 - 2018")]),
+        ("Graphic Designer\nGreen Studio\nsome plain words about nothing much at all here", [("Graphic Designer", "Green Studio", "")]),
+        ("Green studio\nGraphic Designer", [("Graphic Designer", "Green studio", "")]),
+        ("Green Studio\nGraphic Designer", [("Graphic Designer", "", "")]),
+        ("Graphic Designer\nGreen Studio 2016", [("Graphic Designer", "Green Studio 2016", "2016")]),
+        ("Chef | Oak House\nchef | oak house", [("Chef", "Oak House", "")]),
     ],
 )
-def test_experience_passes(lines, want):
-    entries, _ = folds.experience("Work Experience\n" + lines, frozenset())
-    assert entries[0][0] == want[0] and entries[0][1].startswith(want[1])
-    assert not want[2] or entries[0][2] == want[2]
+def test_experience_layouts(lines, want):
+    assert [tuple(e) for e in experience.entries_of(lines, frozenset())] == want
 
 
 def test_experience_ignores_schools_and_verbs():
-    entries, _ = folds.experience("Work Experience\nManaged the Sales Manager\nBachelor of Design Coordinator\nManager, Hill Street 12", frozenset())
-    assert entries == []
+    assert experience.entries_of("Managed the Sales Manager\nBachelor of Design Coordinator\nManager, Hill Street 12", frozenset()) == []
+    assert experience.entries_of(None, frozenset()) == experience.entries_of(" \n", frozenset()) == []
 
 
-def test_certifications_and_languages():
-    assert folds.certifications("Certifications\nAWS Certified Developer\nfoo\nGoogle Analytics Certification 2019") == ["AWS Certified Developer"]  # the last line reads as a header
-    assert folds.languages("Languages\nEnglish Native, nepal") == ["English", "Nepali"]
-    assert folds.languages("Languages\nKlingon, hindl\nteamwork") == ["Hindi"]
-    assert folds.languages("English") == []
+def test_experience_is_read_from_its_section_or_from_all_but_education(spark):
+    f = lambda c: experience.experience(experience.source_of(c, F.struct(extract.section(c, "education").alias("education"), extract.section(c, "experience").alias("experience"))), ["x"])
+    assert one(spark, "Sales Manager\nWork Experience\nChef | Oak House", f).job_titles == ["Chef"]
+    assert one(spark, "Chef | Oak House\nEducation\nTeacher | Hill House\nplain words of school", f).organizations == ["Oak House"]
+
+
+def test_certifications_and_languages(spark):
+    certificates = lambda t: one(spark, t, lambda c: credentials.certifications(c, extract.section(c, "certifications")))
+    spoken = lambda t: one(spark, t, lambda c: credentials.languages(extract.section(c, "languages")))
+    assert certificates("Certifications\nAWS Certified Developer\nfoo\nGoogle Analytics Certification 2019") == ["AWS Certified Developer"]  # the last line reads as a header
+    assert spoken("Languages\nEnglish Native, nepal") == ["English", "Nepali"]
+    assert spoken("Languages\nKlingon, hindl\nteamwork") == ["Hindi"]
+    assert spoken("English") == []
 
 
 def test_record_of_blank_and_null_text(spark):
@@ -108,8 +121,27 @@ def test_record_of_blank_and_null_text(spark):
 
 
 def test_caps_and_partitions(spark):
-    text = "Jane Roe\nLanguages\n" + ", ".join(sorted(list(folds.lx.LANGUAGES)[:30]))
+    text = "Jane Roe\nLanguages\n" + ", ".join(sorted(list(lexicon.LANGUAGES)[:30]))
     df = spark.createDataFrame([(k, text) for k in range(20)], "id long, resume_str string")
     a = analyze.records(df.repartition(1), SKILLS).orderBy("id").collect()
     b = analyze.records(df.repartition(8), SKILLS).orderBy("id").collect()
     assert a == b and all(len(r.languages) <= 10 for r in a)
+
+
+def test_a_recogniser_fills_what_rules_leave(spark):
+    said = {"PERSON": "Ann Lee", "PLACE": "Leeds", "FIRM": "Acme"}
+    recogniser = lambda text, kind: F.when(text != "", F.lit(said[kind]))
+    df = spark.createDataFrame([(1, "plain words only\nWork Experience\nsomething was done")], "id long, resume_str string")
+    r = analyze.records(df, SKILLS, recogniser=recogniser).first()
+    assert (r.name, r.location, r.organizations) == ("Ann Lee", "Leeds", ["Acme"])
+    r = analyze.records(df, SKILLS).first()
+    assert (r.name, r.location, r.organizations) == (None, None, [])
+
+
+def test_the_gate_stops_before_extraction(spark):
+    good = "Jane Roe\njane@roe.org\nSkills\nPython and data tools for the kitchen manager who has profile and summary experience of many years in teams"
+    df = spark.createDataFrame([(1, good, "HR"), (2, "x1 y2 jane@roe.org", "HR"), (3, None, None)], "id long, resume_str string, category string")
+    rows = {r.id: r for r in analyze.analyzed(df, SKILLS).collect()}
+    assert rows[1].gate_status == "ok" and rows[1].email == "jane@roe.org" and rows[1].recommendation.category == "HR"
+    assert rows[2].gate_status == "low_quality" and rows[2].email is None and rows[2].recommendation is None
+    assert rows[3].gate_status == "blank"

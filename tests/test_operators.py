@@ -54,11 +54,18 @@ def test_split_is_a_partition_within_one_of_the_shares(spark):
 
 
 def test_tfidf_rows_have_unit_norm(spark):
-    df = spark.createDataFrame([(k, f"alpha beta gamma w{k % 4} w{k % 3}") for k in range(30)], "id long, t string")
-    counts = features.term_counts(df, "id", "t")
-    vocab = features.vocabulary(counts, 30, most_df=1.0)
-    sums = features.tfidf(counts, vocab).groupBy("doc").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    df = spark.createDataFrame([(k, f"alpha beta gamma w{k % 4} w{k % 3}") for k in range(30)] + [(99, None), (98, "")], "id long, t string")
+    vocab = features.fit(df, "t", most_df=1.0)
+    sums = features.tfidf(df, "id", "t", vocab).groupBy("doc").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert len(sums) == 30 and all(abs(r.s - 1) < 1e-9 for r in sums)
+    assert features.weights(df, vocab, "t").where("size(at) = 0").count() == 2
+
+
+def test_split_ranks_equal_a_plain_window(spark, monkeypatch):
+    df = spark.createDataFrame([(k, ["a", "b", None][k % 3]) for k in range(500)], "id long, category string")
+    one = stats.stratified_split(df, "id", "category").orderBy("id").collect()
+    monkeypatch.setattr(stats, "CELLS", 1)
+    assert one == stats.stratified_split(df, "id", "category").orderBy("id").collect() and len(one) == 500
 
 
 def test_degenerate_statistics(spark):
@@ -78,12 +85,45 @@ def separable(spark):
 
 @pytest.mark.parametrize("name", models.MODELS)
 def test_models_learn_and_give_probabilities(spark, separable, name):
-    data, labels = separable
-    model = models.fit(name, data, 3, trees=5, depth=4, iterations=5)
-    rows = models.predictions(model, data.where("split = 'test'"), labels).collect()
+    model = models.fit(name, separable.data, 3, **({"iterations": 5} | ({"trees": 5, "depth": 4} if name == "random_forest" else {})))
+    rows = models.predictions(model, separable.data.where("split = 'test'"), separable.labels).collect()
     assert sum(r.predicted == r.label for r in rows) >= 0.8 * len(rows)
     for r in rows:
-        assert abs(r.top_3[0].prob - r.confidence) < 1e-9 and abs(sum(p.prob for p in r.top_3) - 1) < 1e-6
+        assert abs(r.top_3[0].prob - r.confidence) < 1e-9 and abs(sum(p.prob for p in r.top_3) - 1) < 1e-6 and r.predicted_category == r.top_3[0].label
+        assert [x.label for x in r.other_categories] == [x.label for x in r.top_3[1:]]
+
+
+@pytest.mark.parametrize("name", ["naive_bayes", "linear_svm"])
+def test_saved_models_predict_alike(spark, separable, name, tmp_path):
+    predictor = models.Predictor(models.fit(name, separable.data, 3, iterations=5), separable.vocabulary, separable.labels)
+    texts = spark.createDataFrame([(1, "cook in the kitchen"), (2, "python code"), (3, " "), (4, None)], "id long, t string")
+    want = sorted(predictor(texts, "t").select("id", "predicted_category", "confidence", "prediction_error", "top_3").collect())
+    assert [(r.predicted_category, r.prediction_error is None) for r in want] == [("chef", True), ("coder", True), ("Unknown", False), ("Unknown", False)]
+    assert want[2].confidence == 0.0 and want[2].top_3[0].label == "Unknown"
+    with pytest.raises(FileNotFoundError):
+        models.load(spark, str(tmp_path / "none"))
+    assert models.cached(spark, str(tmp_path / "none")) is None
+    models.save(spark, str(tmp_path / "m"), predictor, score=0.5)
+    for again in (models.load(spark, str(tmp_path / "m")), models.cached(spark, str(tmp_path / "m"))):
+        assert sorted(again(texts, "t").select("id", "predicted_category", "confidence", "prediction_error", "top_3").collect()) == want
+
+
+def test_notebook_profile_is_sure(spark, separable):
+    model = models.fit("linear_svm", separable.data, 3, profile="notebook", iterations=5)
+    assert {r.confidence for r in models.predictions(model, separable.data, separable.labels).collect()} == {1.0}
+
+
+def test_comparison_has_a_row_a_model(spark, separable):
+    rows = models.compare(separable, ("naive_bayes", "logistic_regression"), iterations=5).collect()
+    assert [r.model for r in rows] == ["naive_bayes", "logistic_regression"] and all(r.accuracy > 0.8 for r in rows)
+
+
+def test_naive_bayes_by_join_equals_broadcast(spark):
+    rows = [(k, ["cook menu sauce the", "python code the", "ward care the", "", None][k % 5] or None, "abc"[k % 3], "train" if k % 4 else "test") for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string, c string, s string")
+    both = [models.relational_naive_bayes(df, "id", "t", "c", "s", limit=n).orderBy("doc").collect() for n in (0, 10**6)]
+    assert both[0] == both[1] and len(both[0]) == 36
+    assert models.relational_naive_bayes(df.where("false"), "id", "t", "c", "s").collect() == []
 
 
 def test_unknown_model():

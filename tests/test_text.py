@@ -36,9 +36,22 @@ def test_classification_clean(spark):
 
 
 @pytest.mark.parametrize(("word", "want"), [("studies", "study"), ("boxes", "box"), ("leaves", "leaf"), ("women", "woman"), ("status", "status"), ("dishes", "dish"), ("cats", "cat")])
-def test_lemma(spark, word, want):
-    lexicon = ["study", "box", "leaf", "woman", "dish", "cat"]
-    assert one(spark, word, lambda c: text.lemma(c, F.array(*(F.lit(x) for x in lexicon)))) == want
+def test_lemma(word, want):
+    assert text.base_form(word, {"study", "box", "leaf", "woman", "dish", "cat"}) == want
+
+
+def test_lexicon_of_a_corpus(spark):
+    df = spark.createDataFrame([(["cat", "cats"],), (["cat", "dog", "dog"],), (None,)], "w array<string>")
+    assert text.lexicon_from(df, "w") == ["cat"]
+    with pytest.raises(ValueError):
+        text.lexicon_from(df, "w", least=1, most=1)
+    assert [r.l for r in df.select(text.lemmas(F.col("w"), ["cat"]).alias("l")).collect()] == [["cat", "cat"], ["cat", "dog", "dog"], None]
+
+
+def test_bullets_and_registered_functions(spark):
+    assert one(spark, "• one\n  - two – three\n", text.strip_bullets) == "one two – three"
+    text.register(spark)
+    assert spark.sql("SELECT fold_text('naïve') AS t").first().t == "naive"
 
 
 @pytest.mark.parametrize(
