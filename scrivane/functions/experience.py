@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrivane.functions import lexicon as lx
+from scrivane.functions.extract import header
+from scrivane.functions.text import lightly_cleaned
 
 KIND = "struct<experience_entries:array<struct<title:string,company:string,period:string>>,job_titles:array<string>,organizations:array<string>>"
 MOST = 8
@@ -234,23 +236,43 @@ def entries_of(source: str | None, skills: frozenset[str]) -> list[Entry]:
     return list(out.values())
 
 
-def experience(source: Column, skills: Iterable[str] = ()) -> Column:
-    """Struct (experience_entries, job_titles, organizations), at most eight of each; null and blank texts have none."""
-    known = frozenset(s.lower() for s in skills)
+# --- one Arrow pass a text ----------------------------------------------------------------------------------------------
 
-    @F.pandas_udf(KIND)
-    def read(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            found = entries_of(text, known)
-            rows.append(([e._asdict() for e in found[:MOST]], [e.title for e in found if e.title][:MOST], [e.company for e in found if e.company][:MOST]))
-        return pd.DataFrame(rows, columns=["experience_entries", "job_titles", "organizations"])
+SECTIONS = ("education", "experience", "certifications", "languages")
+_HEADED = re.compile("(?i)\n(?=" + header(lx.SECTION_HEADERS).replace(r"\z", r"\Z") + ")")
+_OWN = {k: re.compile("(?i)" + header([k]).replace(r"\z", r"\Z")) for k in SECTIONS}
 
-    return read(source)
 
+def sections_of(clean: str) -> dict[str, str]:
+    """The sections that fields read, as ``extract.section_of`` has them."""
+    pieces = _HEADED.split("\n" + clean)[1:]
+    first = {k: next((p for p in pieces if own.match(p)), "") for k, own in _OWN.items()}
+    return {k: p.partition("\n")[2].strip() for k, p in first.items()}
 
-def source_of(text: Column, sections: Column) -> Column:
+
+def source_of(clean: str, parts: dict[str, str]) -> str:
     """The experience section; without one the text less its education section, if that is longer than ten signs."""
-    school = sections["education"]
-    rest = F.when(F.length(school) > 10, F.replace(text, school, F.lit(""))).otherwise(text)
-    return F.when(sections["experience"] != "", sections["experience"]).otherwise(rest)
+    return parts["experience"] or (clean.replace(parts["education"], "") if len(parts["education"]) > 10 else clean)
+
+
+def outline(text: Column, skills: Iterable[str] | None = None) -> Column:
+    """Struct (clean, the sections, work) of a text without mark-up: light cleaning, sections and experience in one pass.
+
+    The folding needs Python anyway, and Spark would evaluate whatever lies between two Python functions once for every
+    use; so all that must be done there is done at once. Without ``skills`` experience is left out.
+    """
+    known = None if skills is None else frozenset(s.lower() for s in skills)
+    kind = "struct<clean:string," + "".join(f"{k}:string," for k in SECTIONS) + f"work:{KIND}>"
+
+    @F.pandas_udf(kind)
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            clean = lightly_cleaned(text or "")
+            parts = sections_of(clean)
+            found = [] if known is None else entries_of(source_of(clean, parts), known)
+            work = {"experience_entries": [e._asdict() for e in found[:MOST]], "job_titles": [e.title for e in found if e.title][:MOST], "organizations": [e.company for e in found if e.company][:MOST]}
+            rows.append((clean, *(parts[k] for k in SECTIONS), work))
+        return pd.DataFrame(rows, columns=["clean", *SECTIONS, "work"])
+
+    return read(text)

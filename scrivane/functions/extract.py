@@ -31,7 +31,7 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _header(keys: Iterable[str]) -> str:
+def header(keys: Iterable[str]) -> str:
     """What follows the start of a line that holds a header of these sections, on that line alone."""
     own = lambda pattern: pattern.replace(r"\s", r"[^\S\n]")
     parts = [rf"[^\n]*?(?:{'|'.join(own(lexicon.SECTION_HEADERS[k]) for k in keys)})\b"]
@@ -45,13 +45,13 @@ def headed(text: Column) -> Column:
 
     No lambda here or in ``section_of`` uses another's variable: Spark does not plan a Python function over one that does.
     """
-    pieces = F.split(F.concat(F.lit("\n"), text), f"(?i)\n(?={_header(lexicon.SECTION_HEADERS)})")
+    pieces = F.split(F.concat(F.lit("\n"), text), f"(?i)\n(?={header(lexicon.SECTION_HEADERS)})")
     return F.slice(pieces, F.lit(2), F.size(pieces))
 
 
 def section_of(pieces: Column, key: str) -> Column:
     """Lines after the first header of the section up to the next header of any, stripped; empty without one."""
-    found = F.get(F.filter(pieces, lambda p: p.rlike(r"(?i)\A" + _header([key]))), F.lit(0))
+    found = F.get(F.filter(pieces, lambda p: p.rlike(r"(?i)\A" + header([key]))), F.lit(0))
     return F.coalesce(strip(F.regexp_replace(found, r"\A[^\n]*", "")), F.lit(""))
 
 

@@ -6,6 +6,7 @@ All functions map null to null unless stated otherwise.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Set
 
@@ -120,6 +121,12 @@ def fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
 
 
+def lightly_cleaned(text: str) -> str:
+    """What ``clean_for_extraction`` makes of a text without mark-up, for Arrow passes that do more at once."""
+    plain = text if text.isascii() else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode("ascii")
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", plain)).strip()
+
+
 def clean_for_extraction(text: Column) -> Column:
     """Light cleaning that keeps lines; blank or null gives the empty text."""
     t = fold(remove_html(F.coalesce(text, F.lit(""))))
@@ -161,10 +168,8 @@ def lexicon_from(df: DataFrame, words: str, least: int = 2, most: int = 200_000)
 
 def word_tokens(text: Column) -> Column:
     """Lower-case words of a text without punctuation, listed contractions in two."""
-    t = normalize_whitespace(F.lower(text))
-    for whole, parts in CONTRACTIONS.items():
-        t = F.when(F.contains(t, F.lit(whole)), F.regexp_replace(t, rf"\b{whole}\b", parts)).otherwise(t)
-    return tokens(t)
+    heads = (rf"{a}(?={b}\b)" for a, b in (parts.split() for parts in CONTRACTIONS.values()))
+    return tokens(F.regexp_replace(F.lower(text), rf"\b({'|'.join(heads)})", "$1 "))
 
 
 def without_stop_words(words: Column, stop: Iterable[str]) -> Column:

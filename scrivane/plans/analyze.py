@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,24 +11,23 @@ from scrivane.functions import credentials, experience, extract, quality, text
 from scrivane.functions.extract import Recogniser
 from scrivane.operators.recommend import recommendations
 
-SECTIONS = ("education", "experience", "certifications", "languages")
 RECORD = ("name", "email", "phone", "location", "skills", "degrees", "universities", "job_titles", "experience_entries")
 
 
-def outlined(docs: DataFrame, column: str = "resume_str", *keep: str) -> DataFrame:
-    """(kept columns, clean, parts): the lightly cleaned text and the sections that fields read, all computed once."""
-    clean = docs.select(*keep, text.clean_for_extraction(F.col(column)).alias("clean"))
-    cut = clean.withColumn("pieces", extract.headed(F.col("clean")))
-    return cut.select(*keep, "clean", F.struct(*(extract.section_of(F.col("pieces"), k).alias(k) for k in SECTIONS)).alias("parts"))
+def outlined(docs: DataFrame, column: str = "resume_str", *keep: str, skills: Iterable[str] | None = None) -> DataFrame:
+    """(kept columns, clean, parts, work): the lightly cleaned text, its sections and its experience, from one Arrow pass."""
+    whole = experience.outline(text.remove_html(F.coalesce(F.col(column), F.lit(""))), skills)
+    rows = docs.select(*keep, whole.alias("o"))
+    return rows.select(*keep, "o.clean", F.col("o").alias("parts"), "o.work")
 
 
 def records(docs: DataFrame, dictionary: Mapping[str, str], key: str = "id", column: str = "resume_str", keep: tuple[str, ...] = (), recogniser: Recogniser | None = None) -> DataFrame:
-    """The record of each document: light cleaning, sections, then every field; only experience crosses into Python.
+    """The record of each document: light cleaning, sections, experience, then every other field as an expression.
 
     ``recogniser``, if given, names people, places and firms where the rules find none.
     """
     t, parts = F.col("clean"), F.col("parts")
-    rows = outlined(docs, column, key, *keep).withColumn("work", experience.experience(experience.source_of(t, parts), dictionary))
+    rows = outlined(docs, column, key, *keep, skills=dictionary)
     blank = t == ""
     firms = F.col("work.organizations")
     if recogniser:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.functions import credentials, experience, extract, quality, text
+from scrivane.functions import credentials, extract, quality, text
 from scrivane.operators import features, metrics, models, recommend, stats
 from scrivane.plans import analyze
 from scrivane.runtime import spread, table
@@ -350,8 +350,8 @@ def education(spark, folder):
 
 @query()
 def experience_entries(spark, folder):
-    rows = outlined(spark, folder)
-    return rows.select("id", experience.experience(experience.source_of(F.col("clean"), F.col("parts")), skill_dictionary(spark, folder)).alias("w")).select("id", "w.*")
+    rows = analyze.outlined(resumes(spark, folder, "resume_str"), "resume_str", "id", skills=skill_dictionary(spark, folder))
+    return rows.select("id", "work.*")
 
 
 @query()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scrivane.functions import credentials, experience, extract, lexicon
+from scrivane.functions import credentials, experience, extract, lexicon, text
 from scrivane.plans import analyze
 
 SKILLS = {s: extract.display_name(s) for s in ("python", "c", "c++", "3d modeling", "e-learning", "sql", "golang", "go", "machine learning", "excel", "self-motivated")}
@@ -66,8 +66,8 @@ def test_skills(spark, given, want):
 
 
 def test_education(spark):
-    text = "Education\nB.Sc. in Physics\nBachelor of Arts in History, 2010. Honours\nMBA in Finance, Oakdale University\nNCEA Level 3 with Merit at Hill College\nAvondale Polytechnic, Leeds\nSkills\nx"
-    got = one(spark, text, lambda c: credentials.education(c, extract.section(c, "education")))
+    given = "Education\nB.Sc. in Physics\nBachelor of Arts in History, 2010. Honours\nMBA in Finance, Oakdale University\nNCEA Level 3 with Merit at Hill College\nAvondale Polytechnic, Leeds\nSkills\nx"
+    got = one(spark, given, lambda c: credentials.education(c, extract.section(c, "education")))
     assert got.degrees == ["Bachelor of Arts in History, 2010", "MBA in Finance, Oakdale University", "NCEA Level 3 with Merit — Hill College"]
     assert "Avondale Polytechnic, Leeds" in got.universities[-1] and got.education_section.startswith("B.Sc.")
 
@@ -99,11 +99,18 @@ def test_experience_ignores_schools_and_verbs():
 
 
 def test_experience_is_read_from_its_section_or_from_all_but_education(spark):
-    f = lambda c: experience.experience(experience.source_of(c, F.struct(extract.section(c, "education").alias("education"), extract.section(c, "experience").alias("experience"))), ["x"])
+    f = lambda c: experience.outline(c, ["x"])["work"]
     assert one(spark, "Sales Manager\nWork Experience\nChef | Oak House", f).job_titles == ["Chef"]
     assert one(spark, "Chef | Oak House\nEducation\nTeacher | Hill House\nplain words of school", f).organizations == ["Oak House"]
 
 
+@pytest.mark.parametrize("given", ["a\nSkills\nx\n\n\n\nEXPERIENCE\ny\tz\nEducation:\n", "Work History\na\nb\nEducation\nc", "Languages\n", "", None, " \n", "my projects\nExperience:\nthe skills"])
+def test_both_ways_to_sections_agree(spark, given):
+    both = one(spark, given, lambda c: F.struct(experience.outline(F.coalesce(c, F.lit(""))).alias("o"), text.clean_for_extraction(c).alias("t")))
+    again = one(spark, both.t, lambda c: F.struct(*(extract.section(c, k).alias(k) for k in experience.SECTIONS)))
+    assert both.o.clean == both.t and [both.o[k] for k in experience.SECTIONS] == list(again)
+
+
 def test_certifications_and_languages(spark):
     certificates = lambda t: one(spark, t, lambda c: credentials.certifications(c, extract.section(c, "certifications")))
     spoken = lambda t: one(spark, t, lambda c: credentials.languages(extract.section(c, "languages")))
@@ -121,8 +128,8 @@ def test_record_of_blank_and_null_text(spark):
 
 
 def test_caps_and_partitions(spark):
-    text = "Jane Roe\nLanguages\n" + ", ".join(sorted(list(lexicon.LANGUAGES)[:30]))
-    df = spark.createDataFrame([(k, text) for k in range(20)], "id long, resume_str string")
+    given = "Jane Roe\nLanguages\n" + ", ".join(sorted(list(lexicon.LANGUAGES)[:30]))
+    df = spark.createDataFrame([(k, given) for k in range(20)], "id long, resume_str string")
     a = analyze.records(df.repartition(1), SKILLS).orderBy("id").collect()
     b = analyze.records(df.repartition(8), SKILLS).orderBy("id").collect()
     assert a == b and all(len(r.languages) <= 10 for r in a)
