@@ -1,10 +1,14 @@
 """Distributed inverted lists with block skipping.
 
 Each record posts (token, position); postings travel packed, one blob per input batch and hash bucket, and a record's
-identifier, set size, flag and sketch are in a blob once, however many of its postings are. A bucket's lists are sorted by (token, size, position), so that rows of one token with equal size
-form a block ordered by position. Every posting walks its list with its own pointer: a partner whose size is out of
-range ends the walk, a position out of range skips the rest of the block, and only what is left is compared by the
-256-bit sketch. All pointers of a bucket move together in vector operations.
+identifier, set size, flag and sketch are in a blob once, however many of its postings are. The number of buckets follows
+the counted postings, so that a bucket holds ``BUCKET_BYTES`` whatever the size of the corpus; the list of a token that
+more than ``LIST`` records may post is cut into parts by record, and every two parts meet in a bucket of their own.
+
+A bucket's lists are sorted by (token, size, position), so that rows of one token with equal size form a block ordered by
+position. Every posting walks its list with its own pointer: a partner whose size is out of range ends the walk, a
+position out of range skips the rest of the block, and only what is left is compared by the 128-bit sketch. All pointers
+of a bucket move together in vector operations.
 """
 
 from __future__ import annotations
@@ -18,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.words import SKETCH_AGREE, SKETCH_BITS
+from scrivane.llm.words import SKETCH_BITS, id_hash, sketch_agree
 from scrivane.runtime import shuffle_width
 
 RECORD = np.dtype([("id", "<i8"), ("n", "<u4"), ("f", "<u1"), ("s", "<u8", (SKETCH_BITS // 64,))])
-POSTING = np.dtype([("t", "<u4"), ("p", "<u4"), ("r", "<u4")])
+#: Token, position, record, and side: 0 in a whole list, 1 or 2 in the two parts that meet in a list of two parts.
+POSTING = np.dtype([("t", "<u8"), ("p", "<u4"), ("r", "<u4"), ("side", "<u1")])
 _FLUSH = 2_000_000
+BUCKET_BYTES = 4 << 20
+LIST = 20_000
 
 
 @dataclass(frozen=True)
@@ -63,26 +70,53 @@ class Jaccard:
         return inter * self.den >= self.num * (na + nb - inter)
 
 
-def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def buckets_for(records: DataFrame) -> int:
+    """Buckets for checkpointed records (tokens binary, 8 bytes each): by the bytes that their postings take."""
+    postings = (records.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 8
+    return max(shuffle_width(records.sparkSession), -(-postings * (POSTING.itemsize + RECORD.itemsize) // BUCKET_BYTES))
+
+
+def parts_of(rows: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Postings with those of long lists (``parts`` > 1) once for each pair of parts that their own part meets."""
+    long = parts > 1
+    if not long.any():
+        return rows
+    out = [rows[~long]]
+    for count in np.unique(parts[long]).tolist():
+        some, own = rows[parts == count], (id_hash(ids[parts == count]) % np.uint64(count)).astype(np.int64)
+        for other in range(count):
+            copy = some.copy()
+            low, high = np.minimum(own, other).astype(np.uint64), np.maximum(own, other).astype(np.uint64)
+            with np.errstate(over="ignore"):
+                copy["t"] = _spread(some["t"] ^ _spread(low * np.uint64(count) + high + np.uint64(1)))
+            copy["side"] = np.where(own == other, 0, np.where(own < other, 1, 2))
+            out.append(copy)
+    return np.concatenate(out)
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
     """(bucket, blob): all postings of an input batch, with their records, that belong to one hash bucket of tokens."""
-    width = shuffle_width(df.sparkSession)
 
     def part(batches):
         for batch in batches:
             records, rows = postings_of(batch)
             if not len(rows):
                 continue
-            bucket = (rows["t"] % np.uint32(width)).astype(np.int64)
-            rows = rows[np.argsort(bucket, kind="stable")]
-            ends = np.cumsum(np.bincount(bucket, minlength=width))
-            buckets, blobs = [], []
-            for b in range(width):
-                some = rows[(ends[b - 1] if b else 0) : ends[b]].copy()
-                if len(some):
-                    used, some["r"] = np.unique(some["r"], return_inverse=True)
-                    buckets.append(b)
-                    blobs.append(np.uint32(len(used)).tobytes() + records[used].tobytes() + some.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            bucket = (_spread(rows["t"]) % np.uint64(width)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            blobs = []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+                some = rows[start:end].copy()
+                used, some["r"] = np.unique(some["r"], return_inverse=True)
+                blobs.append(np.uint32(len(used)).tobytes() + records[used].tobytes() + some.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return df.mapInArrow(part, "bucket int, blob binary")
 
@@ -108,7 +142,8 @@ def walk(records: np.ndarray, rows: np.ndarray, sim: Jaccard, by_position: bool,
     if count < 2:
         return
     r = rows["r"].astype(np.int64)
-    t, p = np.ascontiguousarray(rows["t"]), rows["p"].astype(np.int64)
+    t, p, side = np.ascontiguousarray(rows["t"]), rows["p"].astype(np.int64), np.ascontiguousarray(rows["side"])
+    parted = bool(side.any())
     n, f, ids = records["n"].astype(np.int64)[r], records["f"][r], records["id"][r]
     sketches = np.ascontiguousarray(records["s"])
     new_list = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
@@ -116,6 +151,7 @@ def walk(records: np.ndarray, rows: np.ndarray, sim: Jaccard, by_position: bool,
     list_end = np.repeat(np.r_[new_list[1:], count], np.diff(np.r_[new_list, count]))
     block_end = np.repeat(np.r_[new_block[1:], count], np.diff(np.r_[new_block, count]))
     most = sim.most(n)
+    differ = SKETCH_BITS - sketch_agree(sim.num / sim.den)
     i = np.arange(count)
     j = i + 1
     while True:
@@ -132,10 +168,13 @@ def walk(records: np.ndarray, rows: np.ndarray, sim: Jaccard, by_position: bool,
         else:
             fits = np.ones(len(i), dtype=bool)
         a, b = i[fits], j[fits]
+        if parted:
+            ok = (side[a] == 0) | (side[a] != side[b])
+            a, b = a[ok], b[ok]
         if by_flag:
             ok = ((f[a] & 1) & (f[b] >> 1)) | ((f[a] >> 1) & (f[b] & 1))
             a, b = a[ok > 0], b[ok > 0]
-        near = np.bitwise_count(sketches[r[a]] ^ sketches[r[b]]).sum(axis=1, dtype=np.int64) <= SKETCH_BITS - SKETCH_AGREE
+        near = np.bitwise_count(sketches[r[a]] ^ sketches[r[b]]).sum(axis=1, dtype=np.int64) <= differ
         near &= ids[a] != ids[b]
         if near.any():
             yield a[near], b[near]

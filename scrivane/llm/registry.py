@@ -26,6 +26,10 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(table(spark, folder, "resume"), table(spark, folder, "resume_split"))
 
 
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.overlap_records(table(spark, folder, "resume"), table(spark, folder, "resume_split"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "resume"))
 
@@ -71,7 +75,7 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_report, p3_found, p3_links, p4_found, p4_counts, p5_sample, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_report, p2_records, p3_found, p3_links, p4_found, p4_counts, p5_sample, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kept)}
 
 
 _KEYED = r"""

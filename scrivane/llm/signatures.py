@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.words import MIN_WORDS, bucket_counts, bucket_of, distinct, grams, id_hash, multiset_key, sketch, word_hashes
+from scrivane.llm.blocks import LIST
+from scrivane.llm.words import MIN_WORDS, Frequencies, IdFilter, bucket_counts, distinct, grams, id_filter, multiset_key, pack40, sketch, table_bits, word_hashes
 from scrivane.runtime import cut, spread
 
 KEY = ["set1", "set2", "bag1", "bag2"]
@@ -20,7 +21,7 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"), "id")
 
 
-def shingle_frequencies(rows: DataFrame, least_words: int) -> np.ndarray:
+def shingle_frequencies(rows: DataFrame, least_words: int) -> Frequencies:
     """Bucket counts of the distinct shingles of all records: the global order of shingles, rarest first."""
 
     def values(batch):
@@ -29,17 +30,19 @@ def shingle_frequencies(rows: DataFrame, least_words: int) -> np.ndarray:
             if len(h) >= least_words:
                 yield distinct(grams(h))
 
-    return bucket_counts(rows.select("text"), values)
+    return bucket_counts(rows.select("text"), values, table_bits(rows))
 
 
-def record_signatures(rows: DataFrame, tokens_of: Callable, least_words: int = MIN_WORDS) -> DataFrame:
-    """(id, class key, n, sketch, tokens, positions), checkpointed.
+def record_signatures(rows: DataFrame, tokens_of: Callable, least_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
+    """(id, class key, n, sketch, near, tokens, places, parts[, value]), checkpointed.
 
-    ``tokens_of(hashes, distinct)`` gives the record's posted tokens (uint64) and their positions. Records of one
-    class have the same shingle set and the same words equally often.
+    ``tokens_of(hashes, distinct)`` gives the record's posted tokens (uint64), their positions and estimated frequencies.
+    ``parts`` says into how many parts a token's list is cut. Records of one class have the same shingle set and the same
+    words equally often; ``near`` is equal for most highly similar sets; ``value`` is the packed set, with ``whole``.
     """
-    kind = "id long, set1 long, set2 long, bag1 long, bag2 long, n int, sketch binary, tokens binary, places binary"
-    names = ["id", *KEY, "n", "sketch", "tokens", "places"]
+    kinds = {"id": "long", **dict.fromkeys(KEY, "long"), "n": "int", "sketch": "binary", "near": "long", "tokens": "binary", "places": "binary", "parts": "binary"} | ({"value": "binary"} if whole else {})
+    longest = LIST
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
     def part(batches):
         for batch in batches:
@@ -49,14 +52,15 @@ def record_signatures(rows: DataFrame, tokens_of: Callable, least_words: int = M
                 if len(h) < least_words:
                     continue
                 shingles = distinct(grams(h))
-                tokens, places = tokens_of(h, shingles)
-                out.append((i, *multiset_key(shingles), *multiset_key(h), len(shingles), sketch(shingles).tobytes(), (tokens >> np.uint64(32)).astype("<u4").tobytes(), places.astype("<u4").tobytes()))
+                tokens, places, often = tokens_of(h, shingles)
+                bits, near = sketch(shingles)
+                parts = np.minimum(-(-often // longest), 65535).clip(1).astype("<u2")
+                row = (i, *multiset_key(shingles), *multiset_key(h), len(shingles), bits, near, tokens.astype("<u8").tobytes(), places.astype("<u4").tobytes(), parts.tobytes())
+                out.append((*row, pack40(shingles)) if whole else row)
             if out:
-                columns = list(zip(*out))
-                types = [pa.int64()] * 5 + [pa.int32()] + [pa.binary()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*out), kinds.values())], list(kinds))
 
-    return cut(rows.mapInArrow(part, kind))
+    return cut(rows.mapInArrow(part, ", ".join(f"{c} {k}" for c, k in kinds.items())))
 
 
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,24 +70,20 @@ def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-def involved(pairs: DataFrame) -> np.ndarray:
-    """A fixed-size filter of the ids that occur in pairs: false positives cost a little work, nothing is missed."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return bucket_counts(ids, lambda batch: [id_hash(batch.column("id").to_numpy(zero_copy_only=False))]) > 0
+def involved(pairs: DataFrame) -> IdFilter:
+    """A filter of the ids that occur in checkpointed pairs."""
+    return id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), 2 * pairs.count())
 
 
-def packed_values(rows: DataFrame, wanted: np.ndarray, value_of: Callable, least_words: int = MIN_WORDS) -> DataFrame:
+def packed_values(rows: DataFrame, wanted: IdFilter, value_of: Callable, least_words: int = MIN_WORDS) -> DataFrame:
     """(id, value) of the records that the filter lets through, one row per id, checkpointed."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))  # 512 KB at any size
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)  # 16 MB at most
 
     def part(batches):
-        keep_bits = shared.value
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            at = bucket_of(id_hash(ids))
-            keep = (keep_bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
             out_ids, out = [], []
-            for k in np.flatnonzero(keep):
+            for k in np.flatnonzero(shared.value.holds(ids)):
                 h = word_hashes(batch.column("text")[int(k)].as_py())
                 if len(h) >= least_words:
                     out_ids.append(int(ids[k]))

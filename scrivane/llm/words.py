@@ -7,6 +7,7 @@ of records costs a few vector operations instead of an exploded row per word.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -143,44 +144,91 @@ def unpack40(data: bytes) -> np.ndarray:
 # --- one-bit minwise sketch -------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240607)
-_MUL = (_RNG.integers(1, 2**32, size=(256, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
-_ADD = _RNG.integers(0, 2**32, size=(256, 1), dtype=np.uint64).astype(np.uint32)
-#: Records of similarity 0.7 agree in 218 of 256 bits on average; fewer than 178 has a chance of about 4e-9, while
-#: unrelated records agree in about 135.
-SKETCH_BITS = 256
-SKETCH_AGREE = 178
+SKETCH_BITS = 128
+#: Chance that two records at the threshold agree in fewer bits than asked.
+SKETCH_MISS = 2e-9
+_MUL = (_RNG.integers(1, 2**32, size=SKETCH_BITS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_ADD = _RNG.integers(0, 2**32, size=SKETCH_BITS, dtype=np.uint64).astype(np.uint32)
+#: So many minima make the key under which highly similar sets look for a leader.
+KEY_MINIMA = 4
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """One parity bit of each of 256 permutations' minimum, as four uint64."""
+def sketch_agree(similarity: float) -> int:
+    """Bits in which records of this similarity agree, but for a chance of ``SKETCH_MISS``: 82 of 128 for 0.7.
+
+    A bit agrees with probability (1 + similarity) / 2; unrelated records agree in about 67.
+    """
+    p, miss = (1 + similarity) / 2, 0.0
+    for k in range(SKETCH_BITS + 1):
+        miss += math.comb(SKETCH_BITS, k) * p**k * (1 - p) ** (SKETCH_BITS - k)
+        if miss > SKETCH_MISS:
+            return k
+    return SKETCH_BITS
+
+
+def sketch(values: np.ndarray) -> tuple[bytes, int]:
+    """One parity bit of each of 128 permutations' minimum, and a key of the first few minima."""
     h = (values >> np.uint64(32)).astype(np.uint32)
     low = np.full(SKETCH_BITS, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(h), 2048):
-        block = np.multiply.outer(_MUL[:, 0], h[at : at + 2048])
-        block += _ADD
+        block = np.multiply.outer(_MUL, h[at : at + 2048])
+        block += _ADD[:, None]
         np.minimum(low, block.min(axis=1), out=low)
-    return np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.uint64)
+    key = xxhash.xxh64_intdigest(low[:KEY_MINIMA].tobytes()) - 2**63
+    return np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).tobytes(), key
+
+
+# --- counts by hash bucket: a statistic of bounded size over all rows ----------------------------------------------
+
+
+class Frequencies:
+    """Estimated frequencies of values: counts by hash bucket on a logarithmic scale of one byte.
+
+    A bucket's count is an upper bound of its values' frequencies. ``excess`` takes off what an ordinary bucket holds, so
+    that it estimates the frequency of a frequent value whatever the size of the corpus.
+    """
+
+    def __init__(self, levels: np.ndarray):
+        self.levels = levels
+        self.bits = len(levels).bit_length() - 1
+        count = _LEVELS[levels[:: max(1, len(levels) // 65536)]]
+        self.ordinary = int(np.median(count))
+
+    def count(self, values: np.ndarray) -> np.ndarray:
+        return _LEVELS[self.levels[(values >> np.uint64(64 - self.bits)).astype(np.int64)]]
 
+    def excess(self, values: np.ndarray) -> np.ndarray:
+        return np.maximum(self.count(values) - self.ordinary, 0)
 
-# --- counts by hash bucket: a statistic of fixed size over all rows ------------------------------------------------
 
+#: Counts that the 256 levels stand for, each rounded up: exact to 10, then in steps of a tenth up to 2e11.
+_LEVELS = np.unique(np.r_[np.arange(11), np.ceil(10 * 1.103 ** np.arange(1, 246))].astype(np.int64))[:256]
 
-def bucket_counts(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
-    """How many values of all rows fall into each of 2**22 hash buckets, by their top bits.
+
+def table_bits(df: DataFrame) -> int:
+    """Bits of a table for the values of a text table: about one bucket for 64 bytes, from 2**22 to 2**24 buckets."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(24, max(22, size.bit_length() - 6))
+
+
+def bucket_counts(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BUCKET_BITS) -> Frequencies:
+    """How many values of all rows fall into each of 2**bits hash buckets, by their top bits.
 
     Every task adds up its own counts, tasks' counts meet in a shuffle of compressed chunks, and what reaches the
-    driver is always 16 MB. A bucket's count is an upper bound of the frequency of each value in it.
+    driver is one byte a bucket: 4 to 16 MB.
     """
     ship(df.sparkSession)
-    size = 1 << BUCKET_BITS
+    size = 1 << bits
     step = size // _CHUNKS
 
     def part(batches):
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.uint32)
         for batch in batches:
             held = list(values_of(batch))
             if held:
-                total += np.bincount(bucket_of(np.concatenate(held)), minlength=size)
+                at = np.sort((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.uint32))
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                total[at[first]] += np.diff(np.r_[first, len(at)]).astype(np.uint32)
         if total.any():
             data = [zlib.compress(total[i * step : (i + 1) * step].astype("<u4").tobytes(), 1) for i in range(_CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(data, pa.binary())], ["chunk", "counts"])
@@ -189,18 +237,53 @@ def bucket_counts(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[
         total = np.zeros(step, dtype=np.int64)
         for data in rows["counts"]:
             total += np.frombuffer(zlib.decompress(data.as_py()), dtype="<u4")
-        data = zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)
-        return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()], pa.int32()), "counts": pa.array([data], pa.binary())})
+        level = np.minimum(np.searchsorted(_LEVELS, total), len(_LEVELS) - 1).astype(np.uint8)
+        return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
 
     kind = "chunk int, counts binary"
-    out = np.zeros(size, dtype=np.uint32)
+    out = np.zeros(size, dtype=np.uint8)
     for row in df.mapInArrow(part, kind).groupBy("chunk").applyInArrow(merge, kind).collect():  # 64 rows
-        out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(zlib.decompress(bytes(row.counts)), dtype="<u4")
-    return out
+        out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(zlib.decompress(bytes(row.counts)), dtype=np.uint8)
+    return Frequencies(out)
+
+
+class IdFilter:
+    """A bitmap of hashed identifiers: false positives cost a little work, nothing is missed."""
+
+    def __init__(self, bitmap: np.ndarray):
+        self.bitmap = bitmap
+        self.bits = (8 * len(bitmap)).bit_length() - 1
 
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        at = (id_hash(ids) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((self.bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
-def bucket_of(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+def id_filter(ids: DataFrame, count: int) -> IdFilter:
+    """Filter of a one-column table of ``count`` identifiers, 16 bits each, from 128 KB to 16 MB."""
+    ship(ids.sparkSession)
+    bits = min(27, max(20, (16 * max(count, 1)).bit_length()))
+    step = (1 << bits) // _CHUNKS
+
+    def part(batches):
+        held = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            held[(id_hash(batch.column(0).to_numpy(zero_copy_only=False)) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        if held.any():
+            data = [zlib.compress(np.packbits(held[i * step : (i + 1) * step]).tobytes(), 1) for i in range(_CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(data, pa.binary())], ["chunk", "held"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        held = np.zeros(step // 8, dtype=np.uint8)
+        for data in rows["held"]:
+            held |= np.frombuffer(zlib.decompress(data.as_py()), dtype=np.uint8)
+        return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()], pa.int32()), "held": pa.array([zlib.compress(held.tobytes(), 1)], pa.binary())})
+
+    kind = "chunk int, held binary"
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    for row in ids.mapInArrow(part, kind).groupBy("chunk").applyInArrow(merge, kind).collect():  # 64 rows
+        out[row.chunk * step // 8 : (row.chunk + 1) * step // 8] = np.frombuffer(zlib.decompress(bytes(row.held)), dtype=np.uint8)
+    return IdFilter(out)
 
 
 def id_hash(ids: np.ndarray) -> np.ndarray:

@@ -145,6 +145,71 @@ def test_a_paragraph_shared_by_most_records(spark):
     assert pairs(neardup.near_duplicates(df), "id_a", "id_b") == {(k, 100 + k) for k in range(10)}
 
 
+def revisions(seed=11, clusters=3, size=25):
+    """Clusters of light revisions, which follow one leader, clusters that are similar to each other, and copies."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(clusters):
+        base = [f"w{rng.randrange(3000)}" for _ in range(320)]
+        for shift in (0, 1, 2):  # three leaders that differ in a tenth of the words
+            own = [w if rng.random() > 0.012 * shift else f"v{rng.randrange(10**6)}" for w in base]
+            for _ in range(size):
+                light = list(own)
+                for _ in range(rng.randrange(3)):
+                    light[rng.randrange(len(light))] = f"u{rng.randrange(10**6)}"
+                rows.append(light)
+    rng.shuffle(rows)
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("longest", [20_000, 3])
+def test_clusters_of_revisions_and_lists_in_parts(spark, monkeypatch, longest):
+    """Followers derive their answers; lists longer than the bound are cut into parts that meet pairwise."""
+    from scrivane.llm import signatures
+
+    monkeypatch.setattr(signatures, "LIST", longest)
+    rows = revisions()
+    df = spark.createDataFrame([(i, t, "C", "o", 1, 1, 1, "z") for i, t in rows], TEXT)
+    similar, same = brute(rows)
+    assert pairs(neardup.near_duplicates(df), "id_a", "id_b") == similar - same and len(similar) > 1000
+    r = neardup.relations(signatures.texts(df, "id", "resume_str"), Jaccard())
+    assert r.followers.where("rep <> leader").count() > 10
+    links = {x.id: (x.class_id, x.links) for x in neardup.near_duplicate_links(df).collect()}
+    reps = {c for c, _ in links.values()}
+    want = {c: sum(1 for p in similar if c in p and set(p) <= reps) for c in reps}
+    assert {c: n for c, n in links.values()} == want
+    splits = spark.createDataFrame([(i, "train" if i % 3 else "test", "s") for i, _ in rows], "resume_id long, split string, source string")
+    cross = {p for p in similar | same if (p[0] % 3 == 0) != (p[1] % 3 == 0)}
+    assert pairs(overlap.overlaps(df, splits), "id_a", "id_b") == cross
+    held = {x.id: x.pairs for x in overlap.overlap_records(df, splits).collect()}
+    assert held == {i: sum(i in p for p in cross) for i, _ in rows if i % 3 == 0 and any(i in p for p in cross)}
+
+
+def test_lowered_threshold_covers_followers():
+    sim = Jaccard()
+    low = neardup.lowered(sim)
+    for n in range(30, 400, 7):
+        d = int(neardup.DIFFER * n)
+        for m in (n, int(n * 1.2), int(n / 0.75)):
+            e = int(neardup.DIFFER * m)
+            # followers of n - d .. n + d and m - e .. m + e shingles whose overlap is the least that is similar
+            for a, b in ((n + d, m + e), (n - d, m - e), (n + d, m - e)):
+                leaders = sim.overlap(a + b) - max(a - n, 0) - max(b - m, 0)
+                assert low.holds(leaders, n, m) or leaders > min(n, m)
+
+
+def test_frequencies_estimate_hot_values_at_any_load(spark):
+    from scrivane.llm.words import Frequencies, _LEVELS
+
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(40_000, 1 << 12)
+    counts[7] += 50_000
+    f = Frequencies(np.searchsorted(_LEVELS, counts).astype(np.uint8))
+    value = np.array([7, 8], dtype=np.uint64) << np.uint64(52)
+    hot, plain = f.excess(value).tolist()
+    assert hot > 40_000 and plain <= overlap.HOT
+
+
 def test_empty_tables(spark, table, splits):
     none = table.where("false")
     assert neardup.near_duplicates(none).collect() == [] and copies.hidden_copies(none).collect() == []
