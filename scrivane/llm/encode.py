@@ -98,10 +98,17 @@ class Encoder:
         return len(self.encode(text))
 
 
-def decode(ids, ranks: dict[bytes, int]) -> str:
+def by_id(ranks: dict[bytes, int]) -> list[bytes]:
+    """The vocabulary's strings in the order of their ids."""
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def decode(ids, strings: list[bytes]) -> str:
     """The text again: vocabulary strings, concatenated."""
-    by_id = {v: k for k, v in ranks.items()}
-    return b"".join(by_id[i] for i in ids).decode("utf-8", "surrogatepass")
+    return b"".join([strings[i] for i in ids]).decode("utf-8", "surrogatepass")
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -139,6 +146,20 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     return spread(rows, "doc_id").mapInArrow(part, "doc_id long, ids array<int>")
 
 
+def decoded(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text) of token ids: narrow; null and empty lists give the empty text."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(by_id(read_ranks(path)))  # about 1 MB
+
+    def part(batches):
+        for batch in batches:
+            texts = [decode(ids or (), shared.value) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(part, "doc_id long, text string")
+
+
 def token_counts(df: DataFrame, columns: list[str], text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """The given columns and n_tokens, without shipping the ids anywhere."""
     shared = broadcast_ranks(df.sparkSession, path)

@@ -7,7 +7,8 @@ and a last pass over the leading blocks of the permutation, whose final block is
 divides the quotas among the output shards: at each node a multivariate-hypergeometric draw decides how many blocks of
 each source go left. Shards then draw disjoint runs of the permuted blocks and order their records by a local hash.
 
-Only block sums (sources x blocks, a fixed number) are looked at by the driver. Sizes are tokens of a public tokenizer.
+The number of shards follows the tokens, so that a shard is never more than one task sorts, and the number of blocks the
+shards. Only block sums (named sources x blocks) are looked at by the driver. Sizes are tokens of a public tokenizer.
 
 Defined cases: null ids, null sources and records without tokens take no part; repeated rows of one id count once;
 sources are trimmed; a source without documents or of weight 0 gets nothing, the rest share its weight in proportion;
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from scrivane.llm.encode import VOCABULARY, token_counts
 from scrivane.runtime import cut
 
+#: Least numbers of blocks of a source and of shards of a mix.
 BLOCKS = 256
 SHARDS = 16
+#: Tokens from which a shard is split further: some eight million records of ordinary length, sorted by id and source alone.
+SHARD_TOKENS = 1 << 31
 SEED = 42
 
 
@@ -34,8 +38,7 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, path: str
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_replace(F.col(source_col), r"^\s+|\s+$", "").alias("source"), F.col(text_col).alias("text"))
     rows = rows.where("doc_id is not null and source is not null and text is not null and text <> ''")
     counted = token_counts(rows, ["doc_id", "source"], "text", path).where("n_tokens > 0")
-    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(BLOCKS)).cast("int")
-    return cut(counted.dropDuplicates(["doc_id"]).withColumn("block", block))
+    return cut(counted.dropDuplicates(["doc_id"]))
 
 
 def split_tree(quota: np.ndarray, shards: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -75,7 +78,8 @@ def plan(sums: dict[str, np.ndarray], targets: list[tuple[str, str, float, int]]
                     run.append((use + 1, b, take))
                     want -= take
             runs.append(run)
-            assert sum(t for _, _, t in run) <= have * m
+            if sum(t for _, _, t in run) > have * m:
+                raise ValueError(f"source {s!r} of mix {mix!r} would be used more than {m} times")
         parts = split_tree(np.array([len(r) for r in runs], dtype=np.int64), shards, rng) if runs else []
         at = [0] * len(runs)
         for shard, part in enumerate(parts):
@@ -88,20 +92,23 @@ def plan(sums: dict[str, np.ndarray], targets: list[tuple[str, str, float, int]]
     return deals, shares
 
 
-def mixed(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str = VOCABULARY, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str = VOCABULARY, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mixes (mix_name, shard, position, doc_id, source, use, n_tokens) and the report of shares."""
     spark = docs.sparkSession
     records = sized(docs, id_col, text_col, source_col, path)
+    shards = shards or max(SHARDS, -(-(records.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD_TOKENS))
+    blocks = max(BLOCKS, 4 * shards)
+    records = records.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(blocks)).cast("int"))
     wanted = targets.select("mix_name", F.regexp_replace("source", r"^\s+|\s+$", "").alias("source"), F.col("target_weight").cast("double"), F.coalesce("max_repeats", F.lit(1)).cast("int")).where("mix_name is not null and source is not null and target_weight is not null")
     named = wanted.select("source").distinct()
     per_block = records.join(named, "source", "left_semi").groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
     sums: dict[str, np.ndarray] = {}
-    for r in per_block.collect():  # named sources x 256 blocks
-        sums.setdefault(r.source, np.zeros(BLOCKS, dtype=np.int64))[r.block] = r.n
+    for r in per_block.collect():  # named sources x blocks
+        sums.setdefault(r.source, np.zeros(blocks, dtype=np.int64))[r.block] = r.n
     deals, shares = plan(sums, [tuple(r) for r in wanted.collect()], shards)
     kind = "mix_name string, source string, use int, block int, shard int, take long"
     dealt = spark.createDataFrame(deals, kind)
-    joined = records.join(dealt, ["source", "block"])  # a hot source is spread over its 256 blocks
+    joined = records.join(dealt, ["source", "block"])  # a hot source is spread over its blocks
     inside = Window.partitionBy("mix_name", "source", "use", "block").orderBy(F.xxhash64(F.lit(SEED + 1), "use", "doc_id"), "doc_id")
     before = F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a block that ends the quota gives the records whose middle lies within what is left of it

@@ -58,6 +58,10 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encoded(table(spark, folder, "documents"))
 
 
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    return encode.decoded(p6_ids(spark, folder))
+
+
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix.mixed(table(spark, folder, "documents"), table(spark, folder, "source_target"))[0]
 
@@ -75,7 +79,7 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_report, p2_records, p3_found, p3_links, p4_found, p4_counts, p5_sample, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kept)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_report, p2_records, p3_found, p3_links, p4_found, p4_counts, p5_sample, p5_report, p6_ids, p6_decoded, p7_mix, p7_report, p8_found, p8_kept)}
 
 
 _KEYED = r"""
@@ -98,6 +102,7 @@ _QUOTA = r"""
 def oracle_sql() -> dict[str, str]:
     keep = f"SELECT id, min(id) OVER (PARTITION BY words) AS keep_id FROM ({_KEYED}) WHERE len(words) >= 30"
     return {
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p4_found": f"SELECT keep_id, id AS copy_id FROM ({keep}) WHERE keep_id <> id",
         "p5_sample": _QUOTA + """SELECT q.target_name, r.category, r.id
             FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY substr(md5('42:' || id), 1, 15), id) AS k FROM r) r

@@ -1,10 +1,13 @@
 """Problem 5: samples whose category shares follow target proportions.
 
-Method. All records are kept with a random priority (a hash of seed and id) and counted in a histogram of ``CELLS``
-priority ranges per category; it replaces mergeable reservoirs, and no record is thinned out on the way. The counts give
-the feasible quotas; cells below a quota are taken whole and only the cell at the quota is ranked, so that no category,
-however large, meets in one task. Exhausted and missing categories are reported; ``met`` says that the number of records
-wanted was reached, while ``actual_share`` shows the share, which differs where other categories run out.
+Method. Every record has a random priority, a hash of seed and id. In one pass over the distinct records each task keeps,
+per category, a reservoir of the records with the smallest priorities and the number of records seen. A reservoir holds as
+many records as any target may ask of its category: the bound follows from the row count and the targets alone, so every
+task knows it in advance, and a task with fewer records keeps them all. Reservoirs merge by taking the smallest
+priorities of both. The final counts give the feasible quotas, to which the merged reservoirs are trimmed: priority ranges
+below a quota are taken whole and only the range at the quota is ranked, so that no category, however large, meets in one
+task. Exhausted and missing categories are reported; ``met`` says that the number of records wanted was reached, while
+``actual_share`` shows the share, which differs where other categories run out.
 
 Quotas. The sample's size is ``fraction`` of the distinct categorised records. A category's wish is its share of that size,
 rounded half up, raised to min_records where given; its quota is the wish or, if fewer records exist, all of them.
@@ -16,10 +19,12 @@ an empty table gives empty samples and a report with zero counts; other columns
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivane.runtime import cut
+from scrivane.runtime import cut, ship
 
 FRACTION = 0.2
 SEED = "42"
@@ -50,12 +55,55 @@ def quotas(counts: DataFrame, targets: DataFrame, fraction: float) -> DataFrame:
     return joined.withColumn("quota", F.least("wanted", "available"))
 
 
+def reservoir_sizes(rows: int, targets: DataFrame, fraction: float) -> dict[str, int]:
+    """The most records that any target may take of a category, from a bound of the number of records."""
+    name = F.upper(F.regexp_replace("category", r"^\s+|\s+$", ""))
+    size = int(rows * fraction + 0.5)
+    asked = targets.where("category is not null and target_share is not null").select(name.alias("category"), F.greatest(F.floor(F.col("target_share").cast("double") * size + 0.5) + 1, F.coalesce(F.col("min_records"), F.lit(0))).alias("most"))
+    return {r.category: int(r.most) for r in asked.groupBy("category").agg(F.max("most").alias("most")).collect()}  # one row a category named
+
+
+def reservoirs(records: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(category, id, priority) of what the tasks keep, and (category, seen) rows, whose id is null, of what they saw."""
+    ship(records.sparkSession)
+
+    def smallest(kept: list[np.ndarray], most: int) -> np.ndarray:
+        x = np.concatenate(kept)
+        return x[np.lexsort((x[:, 0], x[:, 1]))[:most]] if len(x) > most else x
+
+    def part(batches):
+        held: dict[str, list[np.ndarray]] = {}
+        waiting: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        for batch in batches:
+            names = batch.column("category").dictionary_encode()
+            code = names.indices.to_numpy(zero_copy_only=False)
+            rows = np.c_[batch.column("id").to_numpy(zero_copy_only=False), batch.column("priority").to_numpy(zero_copy_only=False)]
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                some = rows[code == k]
+                seen[name] = seen.get(name, 0) + len(some)
+                most = sizes.get(name, 0)
+                if most:
+                    held.setdefault(name, []).append(some)
+                    waiting[name] = waiting.get(name, 0) + len(some)
+                    if waiting[name] > 2 * most + 10_000:
+                        held[name] = [smallest(held[name], most)]
+                        waiting[name] = most
+        for name, count in seen.items():
+            x = smallest(held[name], sizes[name]) if name in held else np.zeros((0, 2), dtype=np.int64)
+            n = len(x)
+            columns = [pa.array([name] * (n + 1), pa.string()), pa.array([*x[:, 0].tolist(), None], pa.int64()), pa.array([*x[:, 1].tolist(), None], pa.int64()), pa.array([0] * n + [count], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["category", "id", "priority", "seen"])
+
+    return records.select("id", "category", "priority").mapInArrow(part, "category string, id long, priority long, seen long")
+
+
 def draw(df: DataFrame, targets: DataFrame, id_col: str = "id", category_col: str = "category", fraction: float = FRACTION, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """The samples (target_name, category, id) and the report of every target."""
-    records = cut(categorised(df, id_col, category_col).withColumn("priority", priority(F.col("id"), seed)))
-    records = records.withColumn("cell", (F.col("priority") / F.lit(SPACE // CELLS)).cast("int"))
+    kept = cut(reservoirs(categorised(df, id_col, category_col).withColumn("priority", priority(F.col("id"), seed)), reservoir_sizes(df.count(), targets, fraction)))
+    counts = kept.where("id is null").groupBy("category").agg(F.sum("seen").alias("available"))
+    records = kept.where("id is not null").withColumn("cell", (F.col("priority") / F.lit(SPACE // CELLS)).cast("int"))
     cells = cut(records.groupBy("category", "cell").agg(F.count("*").alias("n")))  # partial counts: at most 1024 a category and task
-    counts = cells.groupBy("category").agg(F.sum("n").alias("available"))
     plan = cut(quotas(counts, targets, fraction))
     before = Window.partitionBy("category").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     start = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -114,22 +114,22 @@ def test_overlaps_equal_brute_force(table, splits, corpus, hot):
     assert sum(r.pairs for r in report) == len(cross) and {r.split for r in report} <= {"validation", "test"}
 
 
-@pytest.mark.parametrize("hot_share", [0.001, 0.0])
-def test_copies_equal_brute_force(table, corpus, hot_share, monkeypatch):
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot": 2, "salts": 3}, {"hot": 1, "hot_keys": 0}])
+def test_copies_equal_brute_force(table, corpus, options):
     _, same = brute(set(corpus))
     group = {}
     for a, b in sorted(same):
         group[b] = min(group.get(b, a), a)
-    got = pairs(copies.hidden_copies(table, hot_share=hot_share), "keep_id", "copy_id")
+    got = pairs(copies.hidden_copies(table, **options), "keep_id", "copy_id")
     assert got == {(a, b) for b, a in group.items()} and got
-    counts = {r.keep_id: r.copies for r in copies.copy_counts(table).collect()}
+    counts = {r.keep_id: r.copies for r in copies.copy_counts(table, **options).collect()}
     assert sum(counts.values()) == len({i for i, t in corpus if i is not None and len(re.findall(r"[^\W_]+", t or "")) >= 30})
 
 
 def test_hot_keys_take_the_salted_way(spark):
     many = " ".join(f"w{k}" for k in range(40))
     df = spark.range(4000).selectExpr("id", f"CASE WHEN id % 3 < 2 THEN '{many}' ELSE concat('{many} x', id) END AS resume_str")
-    got = copies.hidden_copies(df).groupBy("keep_id").count().collect()
+    got = copies.hidden_copies(df, hot=1000).groupBy("keep_id").count().collect()
     assert [(r.keep_id, r["count"]) for r in got] == [(0, 2666)]
 
 
