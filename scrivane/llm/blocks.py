@@ -7,7 +7,7 @@ more than ``LIST`` records may post is cut into parts by record, and every two p
 
 A bucket's lists are sorted by (token, size, position), so that rows of one token with equal size form a block ordered by
 position. Every posting walks its list with its own pointer: a partner whose size is out of range ends the walk, a
-position out of range skips the rest of the block, and only what is left is compared by the 128-bit sketch. All pointers
+position out of range skips the rest of the block, and only what is left is compared by the 256-bit sketch. All pointers
 of a bucket move together in vector operations.
 """
 
@@ -26,10 +26,13 @@ from scrivane.llm.words import SKETCH_BITS, id_hash, sketch_agree
 from scrivane.runtime import shuffle_width
 
 RECORD = np.dtype([("id", "<i8"), ("n", "<u4"), ("f", "<u1"), ("s", "<u8", (SKETCH_BITS // 64,))])
-#: Token, position, record, and side: 0 in a whole list, 1 or 2 in the two parts that meet in a list of two parts.
 POSTING = np.dtype([("t", "<u8"), ("p", "<u4"), ("r", "<u4"), ("side", "<u1")])
+#: A posting as it travels, 12 bytes: 48 bits of the token, the position below two bits of the side, and the record's
+#: place in its blob. Side is 0 in a whole list, 1 or 2 in the two parts that meet in a list of two parts.
+PACKED = np.dtype([("t", "<u4"), ("u", "<u2"), ("p", "<u4"), ("r", "<u2")])
 _FLUSH = 2_000_000
-BUCKET_BYTES = 4 << 20
+_BATCH = 50_000
+BUCKET_BYTES = 16 << 20
 LIST = 20_000
 
 
@@ -73,7 +76,7 @@ class Jaccard:
 def buckets_for(records: DataFrame) -> int:
     """Buckets for checkpointed records (tokens binary, 8 bytes each): by the bytes that their postings take."""
     postings = (records.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 8
-    return max(shuffle_width(records.sparkSession), -(-postings * (POSTING.itemsize + RECORD.itemsize) // BUCKET_BYTES))
+    return max(shuffle_width(records.sparkSession), -(-postings * (PACKED.itemsize + RECORD.itemsize) // BUCKET_BYTES))
 
 
 def parts_of(rows: np.ndarray, ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -103,7 +106,7 @@ def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], tuple[np.ndarray
     """(bucket, blob): all postings of an input batch, with their records, that belong to one hash bucket of tokens."""
 
     def part(batches):
-        for batch in batches:
+        for batch in (b.slice(at, _BATCH) for b in batches for at in range(0, b.num_rows, _BATCH)):
             records, rows = postings_of(batch)
             if not len(rows):
                 continue
@@ -113,8 +116,11 @@ def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], tuple[np.ndarray
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             blobs = []
             for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
-                some = rows[start:end].copy()
-                used, some["r"] = np.unique(some["r"], return_inverse=True)
+                own = rows[start:end]
+                used, place = np.unique(own["r"], return_inverse=True)
+                some = np.empty(len(own), dtype=PACKED)
+                some["t"], some["u"], some["r"] = own["t"] >> np.uint64(32), (own["t"] >> np.uint64(16)) & np.uint64(0xFFFF), place
+                some["p"] = own["p"] | (own["side"].astype(np.uint32) << np.uint32(30))
                 blobs.append(np.uint32(len(used)).tobytes() + records[used].tobytes() + some.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
@@ -128,8 +134,10 @@ def load(blobs) -> tuple[np.ndarray, np.ndarray]:
         data = blob.as_py()
         count = int(np.frombuffer(data, dtype="<u4", count=1)[0])
         records.append(np.frombuffer(data, dtype=RECORD, count=count, offset=4))
-        some = np.frombuffer(data, dtype=POSTING, offset=4 + count * RECORD.itemsize).copy()
-        some["r"] += seen
+        own = np.frombuffer(data, dtype=PACKED, offset=4 + count * RECORD.itemsize)
+        some = np.empty(len(own), dtype=POSTING)
+        some["t"] = (own["t"].astype(np.uint64) << np.uint64(16)) | own["u"]
+        some["p"], some["side"], some["r"] = own["p"] & np.uint32(2**30 - 1), own["p"] >> np.uint32(30), own["r"].astype(np.uint32) + np.uint32(seen)
         seen += count
         rows.append(some)
     all_records, all_rows = np.concatenate(records), np.concatenate(rows)

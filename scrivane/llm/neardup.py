@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm.blocks import POSTING, RECORD, Jaccard, buckets_for, pack, parts_of, shared_counts
-from scrivane.llm.signatures import KEY, classes, record_signatures, shingle_frequencies, texts, with_values
-from scrivane.llm.words import MIN_WORDS, unpack40
+from scrivane.llm.signatures import KEY, classes, fetched, involved, record_signatures, shingle_frequencies, texts, with_values
+from scrivane.llm.words import MIN_WORDS, id_filter, unpack40
 from scrivane.runtime import cut
 
 #: Least share of all distinct shingles of two records that both have; one value for pairs and for links.
@@ -122,45 +122,55 @@ def _values(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype="<u8")
 
 
-def led(unique: DataFrame) -> DataFrame:
+def led(records: DataFrame, unique: DataFrame) -> DataFrame:
     """(rep, leader, n, gone, new) of every representative: its leader and the difference, or itself and none.
 
-    The leader of a key is its smallest id, one row, so a key that a third of all rows share is a join with one row on
-    the other side, which Spark may split.
+    Representatives of one key look to its smallest id. Only sets of keys with two or more are fetched and compared; a
+    key that a third of all rows share is a join with one row on the other side, which Spark may split.
     """
-    first = unique.groupBy("near").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    shown = first.join(unique.select(F.col("id").alias("leader"), F.col("value").alias("of_leader")), "leader").select("near", "leader", "of_leader")
+    narrow = records.groupBy("id").agg(F.min("near").alias("near"), F.min("n").alias("n")).join(unique, "id")
+    first = narrow.groupBy("near").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    looking = cut(narrow.join(first, "near").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n"))
+    sets = fetched(records, involved(looking), "value")
 
     def differences(batches):
         for batch in batches:
             out = []
-            for rep, leader, n, own, other in zip(*(batch.column(c).to_pylist() for c in ("id", "leader", "n", "value", "of_leader"))):
-                gone = new = np.zeros(0, dtype=np.uint64)
-                follows = other is not None and leader != rep
-                if follows:
-                    u, v = unpack40(own), unpack40(other)
-                    gone, new = _only(v, u), _only(u, v)
-                    follows = len(gone) + len(new) <= DIFFER * len(v)
-                out.append((rep, leader if follows else rep, n, _bytes(gone) if follows else b"", _bytes(new) if follows else b""))
+            for rep, leader, n, other, own in zip(*(batch.column(c).to_pylist() for c in ("b", "a", "n", "value_a", "value_b"))):
+                u, v = unpack40(own), unpack40(other)
+                gone, new = _only(v, u), _only(u, v)
+                if len(gone) + len(new) <= DIFFER * len(v):
+                    out.append((rep, leader, n, _bytes(gone), _bytes(new)))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["rep", "leader", "n", "gone", "new"])
 
-    joined = unique.select("id", "near", "n", "value").join(shown, "near", "left").select("id", "leader", "n", F.when(F.col("leader") != F.col("id"), F.col("value")).alias("value"), F.when(F.col("leader") != F.col("id"), F.col("of_leader")).alias("of_leader"))
-    return cut(joined.mapInArrow(differences, "rep long, leader long, n int, gone binary, new binary"))
+    following = cut(with_values(looking, sets).mapInArrow(differences, "rep long, leader long, n int, gone binary, new binary"))
+    none = F.lit(b"")
+    own = narrow.join(following.select(F.col("rep").alias("id")), "id", "left_anti").select(F.col("id").alias("rep"), F.col("id").alias("leader"), "n", none.alias("gone"), none.alias("new"))
+    return cut(following.unionByName(own))
 
 
 def relations(rows: DataFrame, sim: Jaccard, least_words: int = MIN_WORDS) -> Relations:
+    """The wide records stay where they are: filters of bounded size pick what posts and what is compared.
+
+    A filter lets a few other records through; what they add is dropped from the pairs by a join on ids alone.
+    """
     low = lowered(sim)
     records = prefix_records(rows, low, least_words)
     reps, members = classes(records)
     membership = cut(members.join(reps, KEY).select("id", "rep", "bag1", "bag2"))
-    unique = records.dropDuplicates(["id"]).join(membership.where("id = rep").select("id"), "id", "left_semi")
-    followers = led(unique)
-    leaders = records.dropDuplicates(["id"]).join(followers.where("rep = leader").select(F.col("rep").alias("id")), "id", "left_semi")
-    posting = leaders.select("id", "n", "sketch", "tokens", "places", "parts")
-    candidates = cut(shared_counts(pack(posting, postings, buckets_for(posting)), low))
-    sets = leaders.select("id", "value")
+    followers = led(records, membership.where("id = rep").select("id"))
+    leaders = followers.where("rep = leader").select(F.col("rep").alias("id"))
+    posting = rows.sparkSession.sparkContext.broadcast(id_filter(leaders, leaders.count()))  # 16 MB at most
+
+    def led_postings(batch):
+        return postings(batch.filter(pa.array(posting.value.holds(batch.column("id").to_numpy(zero_copy_only=False)))))
+
+    light = records.select("id", "n", "sketch", "tokens", "places", "parts")
+    shared = shared_counts(pack(light, led_postings, buckets_for(light)), low)
+    candidates = cut(shared.join(leaders.withColumnRenamed("id", "a"), "a", "left_semi").join(leaders.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    sets = fetched(records, involved(candidates), "value")
 
     def verify(batches):
         for batch in batches:

@@ -159,8 +159,8 @@ def similar_classes(resumes: DataFrame, splits: DataFrame, threshold: float, lea
     records = record_signatures(rows, fingerprints, least_words)
     keyed = cut(records.select("id", *KEY).distinct().join(flags, "id"))
     reps = keyed.groupBy(*KEY).agg(F.min("id").alias("rep"), F.expr("bit_or(flag)").alias("flag"))
-    one_each = cut(records.dropDuplicates(["id"]).select("id", "n", "sketch", "tokens", "places", "parts").join(reps.select(F.col("rep").alias("id"), F.col("flag")), "id"))
-    seeds = cut(seed_pairs(pack(one_each, postings, buckets_for(one_each)), sim))
+    one_each = records.select("id", "n", "sketch", "tokens", "places", "parts").join(reps.select(F.col("rep").alias("id"), F.col("flag")), "id")  # a repeated row repeats seeds, no pairs
+    seeds = cut(seed_pairs(pack(one_each, postings, buckets_for(records)), sim))
     sequences = packed_values(rows, involved(seeds), pack40, least_words)
 
     def verify(batches):

@@ -75,6 +75,18 @@ def involved(pairs: DataFrame) -> IdFilter:
     return id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), 2 * pairs.count())
 
 
+def fetched(records: DataFrame, wanted: IdFilter, *columns: str) -> DataFrame:
+    """(id, columns) of the checkpointed records that the filter lets through, one row per id, checkpointed."""
+    shared = records.sparkSession.sparkContext.broadcast(wanted)  # 16 MB at most
+    rows = records.select("id", *columns)
+
+    def part(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.holds(batch.column("id").to_numpy(zero_copy_only=False))))
+
+    return cut(rows.mapInArrow(part, rows.schema).dropDuplicates(["id"]))
+
+
 def packed_values(rows: DataFrame, wanted: IdFilter, value_of: Callable, least_words: int = MIN_WORDS) -> DataFrame:
     """(id, value) of the records that the filter lets through, one row per id, checkpointed."""
     shared = rows.sparkSession.sparkContext.broadcast(wanted)  # 16 MB at most

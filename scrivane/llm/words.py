@@ -144,7 +144,7 @@ def unpack40(data: bytes) -> np.ndarray:
 # --- one-bit minwise sketch -------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240607)
-SKETCH_BITS = 128
+SKETCH_BITS = 256
 #: Chance that two records at the threshold agree in fewer bits than asked.
 SKETCH_MISS = 2e-9
 _MUL = (_RNG.integers(1, 2**32, size=SKETCH_BITS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -154,9 +154,9 @@ KEY_MINIMA = 4
 
 
 def sketch_agree(similarity: float) -> int:
-    """Bits in which records of this similarity agree, but for a chance of ``SKETCH_MISS``: 82 of 128 for 0.7.
+    """Bits in which records of this similarity agree, but for a chance of ``SKETCH_MISS``: 178 of 256 for 0.7.
 
-    A bit agrees with probability (1 + similarity) / 2; unrelated records agree in about 67.
+    A bit agrees with probability (1 + similarity) / 2; unrelated records agree in about 135.
     """
     p, miss = (1 + similarity) / 2, 0.0
     for k in range(SKETCH_BITS + 1):
@@ -167,7 +167,7 @@ def sketch_agree(similarity: float) -> int:
 
 
 def sketch(values: np.ndarray) -> tuple[bytes, int]:
-    """One parity bit of each of 128 permutations' minimum, and a key of the first few minima."""
+    """One parity bit of each of 256 permutations' minimum, and a key of the first few minima."""
     h = (values >> np.uint64(32)).astype(np.uint32)
     low = np.full(SKETCH_BITS, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(h), 2048):
