@@ -154,7 +154,7 @@ KEY_MINIMA = 4
 
 
 def sketch_agree(similarity: float) -> int:
-    """Bits in which records of this similarity agree, but for a chance of ``SKETCH_MISS``: 178 of 256 for 0.7.
+    """Bits in which records of this similarity agree, but for a chance of ``SKETCH_MISS``: 181 of 256 for 0.7.
 
     A bit agrees with probability (1 + similarity) / 2; unrelated records agree in about 135.
     """
