@@ -1,8 +1,8 @@
 """Problem 1: personal items in free text and HTML, found and replaced by typed placeholders.
 
 Method. Regular expressions propose spans, anchored at the few signs that can begin an item (at-signs and their disguises,
-digits, capitalised names after cues or at the head of a line). Checksum validators (Luhn, mod-97) set payment cards
-and bank accounts apart from phones and identity numbers. Words near a span adjust its score: labels raise it, words of
+digits, runs of capitalised words after cues and labels or at the head of a line). Checksum validators decide about
+numbers: a bank account that checks (mod-97) holds no other item, a number that checks as a payment card (Luhn) is no phone. Words near a span adjust its score: labels raise it, words of
 trade (order, invoice, batch, part ...) and of firms, schools and streets lower it; a span is kept from ``KEEP`` on.
 
 HTML is read as its text - tags dropped, entities decoded - plus attribute values and comments; every span keeps its
@@ -45,11 +45,14 @@ class View:
         self.parts: list[str] = []
         self.at: list[int] = []
         self.origin: list[tuple[int, bool]] = []
+        self.width: list[int] = []
         self.length = 0
         self.text = ""
 
-    def add(self, text: str, origin: int, verbatim: bool = True) -> None:
+    def add(self, text: str, origin: int, verbatim: bool = True, width: int = 0) -> None:
+        """``width``: signs that an entity takes in the original; a break that stands for a tag has none."""
         if text:
+            self.width.append(width)
             self.at.append(self.length)
             self.origin.append((origin, verbatim))
             self.parts.append(text)
@@ -68,6 +71,23 @@ class View:
         return origin + (position - self.at[k] if verbatim else 0)
 
 
+    def pieces(self, start: int, end: int) -> list[tuple[int, int]]:
+        """Where the readable text from start to end stands in the original: one run of signs, or one entity, each."""
+        out: list[tuple[int, int]] = []
+        k = bisect.bisect_right(self.at, start) - 1
+        while k < len(self.at) and self.at[k] < end:
+            low, high = max(start, self.at[k]), min(end, self.at[k + 1] if k + 1 < len(self.at) else self.length)
+            origin, verbatim = self.origin[k]
+            at = (origin + low - self.at[k], origin + high - self.at[k]) if verbatim else (origin, origin + self.width[k])
+            if at[1] > at[0]:
+                if out and out[-1][1] == at[0]:
+                    out[-1] = (out[-1][0], at[1])
+                else:
+                    out.append(at)
+            k += 1
+        return out
+
+
 def view_of(text: str, is_html: bool) -> View:
     view = View()
     if not is_html:
@@ -90,12 +110,13 @@ def view_of(text: str, is_html: bool) -> View:
             if "=" in m.group(3):
                 for a in _ATTRIBUTE.finditer(m.group(3)):
                     k = a.lastindex
-                    if k and len(a.group(k)) > 6:
-                        aside.append((a.group(k), m.start(3) + a.start(k)))
+                    value = a.group(k) if k else ""
+                    if len(value) > 6 or "@" in value or " " in value or value.isdigit():  # no shorter value can hold an item
+                        aside.append((value, m.start(3) + a.start(k)))
         elif m.group(1) is not None:
             aside.append((m.group(1), m.start(1)))
         elif m.group(0)[0] == "&":
-            view.add(html.unescape(m.group(0)), m.start(), False)
+            view.add(html.unescape(m.group(0)), m.start(), False, len(m.group(0)))
         else:
             aside.append((m.group(0), m.start()))
     view.add(text[last:], last)
@@ -104,7 +125,7 @@ def view_of(text: str, is_html: bool) -> View:
         start = 0
         for m in re.finditer(r"&#?\w{1,31};", piece):
             view.add(piece[start : m.start()], at + start)
-            view.add(html.unescape(m.group(0)), at + m.start(), False)
+            view.add(html.unescape(m.group(0)), at + m.start(), False, len(m.group(0)))
             start = m.end()
         view.add(piece[start:], at + start)
     return view.close()
@@ -366,8 +387,15 @@ _LEFT_CUE = re.compile(r"(?:^|[\s(])(?:for|to|by|from|with|under|of|and|contact|
 _LINE_START = re.compile(r"(?:(?:^|[\n|•·;/\"“”>]|\s{2})[ *+\-–—‣▪>#\r]*)(?:(?:references?|referees?|contact(?: details)?|personal (?:details|information))\s?:? *)?$", re.I)
 _INITIAL = re.compile(r"[^\W\d_](?<![\w.'].)\.(?= [^\W\d_])")
 #: Cues after which any capitalised word may begin a name.
-_NAME_CUE = re.compile(r"(?<![^\W_])(?i:report(?:ed|ing|s)(?: directly)? to|(?:supervised|managed|mentored|referred) by|supervisor|line manager|referees?|references?|contact|deputi[sz]ed for|(?:took over|handover) from)(?: is| was)?[:,]?\s+(?=[^\W\d_a-z])")
-_HEAD = re.compile(r"(?:^|\s{2}|[|•·])[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-z][^\W\d_]*[a-z'.-])", re.M)
+_NAME_CUE = re.compile(
+    r"(?<![^\W_])(?i:report(?:ed|ing|s)(?: directly)? to|(?:supervised|managed|mentored|referred|trained|hired|led) by|supervisor|line manager|referees?|references?|contact|deputi[sz]ed for|(?:took over|(?:took )?handover) from"
+    r"|work(?:ed|ing|s)? (?:closely )?with|alongside|on behalf of|assistant to)(?: is| was)?(?::|,)?\s+(?:(?i:dr|mr|mrs|ms|prof)\.? )?(?=[^\W\d_])"
+)
+#: Cues that name a person even where letter case tells nothing; what follows the name then decides.
+_FIRM_CUE = re.compile(r"(?i:report(?:ed|ing|s)(?: directly)? to|(?:mentored|supervised) by|referees?|references?|deputi[sz]ed for|(?:took )?handover from)")
+_HEAD = re.compile(r"(?:^|\s{2}|[|•·])[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-z][^\W\d_]*['.-]?[^\W\d_]*)", re.M)
+#: Words after a name that go on with a sentence.
+_GOES_ON = re.compile(r" (?:until|during|in|and|for|at|on|from|as|while|before|after|to|since|through|with)\b", re.I)
 #: Capitalised words that begin or end names of offices, teams and places, not of persons.
 _OFFICE = set(
     "human resources customer client service services sales marketing finance financial accounting accounts senior junior regional general executive chief vice board department division managing assistant national international global corporate "
@@ -375,14 +403,14 @@ _OFFICE = set(
     "nursing clinical administrative administration training development education art arts creative digital media web graphic network system systems security property facilities retail account key care patient social community youth "
     "program programme area district state city county federal government us uk united states american english french spanish german microsoft adobe google work experience professional personal career summary additional core areas available upon "
     "academic background employment history education qualifications qualification certifications licenses licences volunteer achievements highlights objective profile details fluent basic native intermediate conversational advanced arabic hindi "
-    "request company name current present port upper lower cross glen mount mail e-mail email write fort lake saint san santa contract review analysis design writing engineering january february march april june july september october november december monday tuesday wednesday thursday friday saturday sunday skills languages member members team teams".split()
+    "first aid certificate certified diploma award licence license training method level prize foundation course request company name current present port upper lower cross glen mount mail e-mail email write fort lake saint san santa contract review analysis design writing engineering january february march april june july september october november december monday tuesday wednesday thursday friday saturday sunday skills languages member members team teams".split()
 )
 _WORD = re.compile(r"[^\W\d_][\w']*(?:-[^\W\d_][\w']*)*\.?")
 
 
 def mostly_capital(text: str) -> bool:
-    """Whether letter case carries no information: all capitals, or nearly every word capitalised."""
-    sample = re.findall(r"[^\W\d_]{4,}", text[:1500])
+    """Whether letter case carries no information in a text: all capitals, or nearly every word capitalised."""
+    sample = re.findall(r"[^\W\d_]{4,}", text)
     return bool(sample) and sum(w[0].isupper() for w in sample) > 0.85 * len(sample)
 
 
@@ -479,45 +507,135 @@ def names(text: str) -> Iterator[tuple[int, int, str, str]]:
             at = low.find(given, end)
     for start in sorted(starts):
         yield from _unlabelled(text, start, any_case)
-    yield from _cued(text)
+    yield from _Names(text).find()
 
 
-def _cued(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Names that a cue before, or a role or contact after the head of a line, shows; any capitalised word may begin one."""
-    if text.islower() or mostly_capital(text):
-        return
-    for m in _NAME_CUE.finditer(text):
-        end = _person(text, m.end())
-        if end:
-            yield m.end(), end, "name", text[m.end() : end]
-    first = len(text) - len(text.lstrip())
-    for m in _HEAD.finditer(text):
-        end = _person(text, m.end())
-        if not end:
-            continue
+_PART = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
+_NAME_RUN = re.compile(rf"(?:[^\W\d_]\.|{_PART})(?: (?:[^\W\d_]\.|{_PART})){{1,5}}")
+_TURNED = re.compile(rf"({_PART}), ({_PART}(?: (?:[^\W\d_]\.|{_PART}))?)")
+
+
+def _blocked(word: str) -> bool:
+    bare = word.strip(".").lower()
+    return bare in _OFFICE or bare in _FIRM or bare in _PHRASE or bare in _KINDS or bare in _STOP or bool(_JOB.fullmatch(bare))
+
+
+def _contact(text: str) -> bool:
+    """Whether contact details begin here; a year is none."""
+    return bool(_CONTACT.match(text)) and not re.match(r"\(?(?:19|20)\d\d\b|\d{3,5}[A-Za-z]? [^\W\d_]", text)
+
+
+def _role(text: str, end: int) -> bool:
+    """Whether a comma and a role follow, and no further word of the same phrase."""
+    m = _ROLE.match(text, end)
+    return bool(m) and not re.match(r" (?!(?:at|of|for|with|from|and|in)\b)[^\W\d_]", text[m.end() : m.end() + 5], re.I)
+
+
+class _Names:
+    """Names that a cue, a label or the head of a line shows, whatever their words are.
+
+    A candidate is a run of two to five words that letter case tells apart. Its score adds what speaks for a person - the
+    cue, a role, a contact or the rest of a sentence behind, an initial within - and takes off what speaks against: words of
+    offices, firms, streets and trades, words that the text also writes small, more words than names have.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.flat = text.islower() or mostly_capital(text)
+        self.small: set[str] | None = None
+
+    def ordinary(self, words: list[str]) -> bool:
+        """Whether the text also writes one of the words small, other than inside an address."""
+        if self.small is None:
+            self.small = set(re.findall(r"(?<![^\s(\"'/])[a-zà-ÿ]{3,}(?=[,.;:)!?\"']*(?:\s|$))", self.text)) if not self.flat else set()
+        return any(w.strip(".").lower() in self.small and w.lower() not in _PARTICLE for w in words)
+
+    def run(self, start: int, stop_at_break: bool = True) -> tuple[int, list[str]] | None:
+        """End and words of the capitalised run that begins here; in flat texts of the words up to a stop word."""
+        m = _NAME_RUN.match(self.text, start)
+        if not m:
+            return None
+        words: list[str] = []
+        for word in m.group(0).split(" "):
+            bare = word.strip(".").lower()
+            if bare in _STOP or (not self.flat and word[0].islower() and bare not in _PARTICLE):
+                break
+            words.append(word)
+        while words and words[-1].lower() in _PARTICLE:
+            words.pop()
+        return (start + len(" ".join(words)), words) if 2 <= len(words) <= 5 else None
+
+    def score(self, end: int, words: list[str], cue: bool, head: bool) -> float:
+        text = self.text
+        if any(map(_blocked, words)) or self.ordinary(words) or len(words[-1].strip(".")) < 2 or firm_follows(text, end):
+            return -1.0
+        if not self.flat and any(w.isupper() and len(w) > 2 for w in words) and not all(w.isupper() or w.lower() in _PARTICLE for w in words):
+            return -1.0
         tail = text[end : end + 160]
-        line = tail.split("\n")[0]
-        rest = re.split(r"  |[|•·;]", line)[0].strip()
-        after = tail[len(rest) :].lstrip(" \n\r\t|•·;-–—")[:60].split("\n")[0]
-        detail = rest[:1] in tuple(",–—-(:") and ("@" in rest or sum(c.isdigit() for c in rest) >= 7)
-        alone = not rest and ((_CONTACT.match(after) and not re.match(r"\(?(?:19|20)\d\d\b|\d{3,5}[A-Za-z]? [^\W\d_]", after)) or (m.start() <= first and _JOB.search(after)))
-        if _ROLE.match(text, end) or detail or alone or _CONTACT.match(rest.strip(" ,–—-:")):
-            yield m.end(), end, "name", text[m.end() : end]
-
-
-def _person(text: str, start: int) -> int | None:
-    """End of the two or more capitalised words that begin here, unless they name an office, a firm or a common thing."""
-    got = parse_name(text, start, True)
-    if not got or firm_follows(text, got[0]) or re.match(r" (?=[^\W\d_a-z])", text[got[0] : got[0] + 2]):
-        return None
-    words = text[start : got[0]].split()
-    bare = [w.strip(".").lower() for w in words]
-    if any(w in _OFFICE or w in _FIRM or w in _PHRASE or w in _KINDS or _JOB.fullmatch(w) for w in bare):
-        return None
-    # a word that the text also writes small is no name
-    if any(len(w) > 2 and w not in _PARTICLE and re.search(rf"(?<!\w){re.escape(w)}(?!\w)", text) for w in bare):
-        return None
-    return got[0]
+        line = re.split(r"\n|  |[|•·;]", tail, maxsplit=1)[0]
+        behind = tail[len(line) :].lstrip(" \n\r\t|•·;-–—")[:60].split("\n")[0]
+        rest = line.strip(" ,–—-:")
+        score = 0.0
+        if _role(text, end) or _contact(rest) or (line[:1] in tuple(",–—-(:") and ("@" in rest or sum(c.isdigit() for c in rest) >= 7)):
+            score += 1.0
+        elif not line.strip(" ,.") and cue:
+            score += 0.5
+        if not line.strip():
+            score += 1.0 if head and _contact(behind) else 0.0
+        if cue:
+            score += 0.5 + 0.5 * bool(_GOES_ON.match(tail) or (not self.flat and re.match(r" [a-zà-ÿ]", tail)) or not tail.strip() or tail[0] in ".,;\n|")
+        if any(len(w.strip(".")) == 1 for w in words[1:-1]):
+            score += 0.5
+        return score - 0.25 * max(0, sum(w.lower() not in _PARTICLE for w in words) - 3)
+
+    def turned(self, start: int, cue: bool) -> int | None:
+        """End of "Surname, Given" that a role, a contact, the end of the line or a sentence follows."""
+        m = _TURNED.match(self.text, start)
+        if not m:
+            return None
+        words = [m.group(1), *m.group(2).split()]
+        end = m.end()
+        if not self.flat and any(w[0].islower() for w in words):
+            if len(words) != 3 or words[0][0].islower() or words[1][0].islower():
+                return None
+            words, end = words[:2], m.start(2) + len(words[1])
+        if self.flat and len(words) == 3 and words[2].lower() in _STOP:
+            words, end = words[:2], m.start(2) + len(words[1])
+        if any(map(_blocked, words)) or self.ordinary(words) or any(len(w.strip(".")) < 2 for w in words[:2]):
+            return None
+        tail = self.text[end : end + 60]
+        evident = _role(self.text, end) or (cue and (_GOES_ON.match(tail) or not tail.strip() or tail[0] == "\n" or tail[:2] == "  "))
+        return end if evident else None
+
+    def find(self) -> Iterator[tuple[int, int, str, str]]:
+        text = self.text
+        first = len(text) - len(text.lstrip())
+        for m in _NAME_CUE.finditer(text):
+            strict = bool(_FIRM_CUE.match(m.group(0)))
+            if self.flat and not strict:
+                continue
+            yield from self.at(m.end(), True, False, need=1.0)
+        if self.flat:
+            return
+        for m in _HEAD.finditer(text):
+            yield from self.at(m.end(), False, True, need=1.0, top=m.start() <= first)
+
+    def at(self, start: int, cue: bool, head: bool, need: float, top: bool = False) -> Iterator[tuple[int, int, str, str]]:
+        end = self.turned(start, cue)
+        if end:
+            yield start, end, "name", self.text[start:end]
+            return
+        got = self.run(start)
+        if not got:
+            return
+        end, words = got
+        score = self.score(end, words, cue, head)
+        if top and score >= 0:
+            tail = self.text[end : end + 80]
+            alone = re.match(r"\s*?(?:\n|  |[|•·])", tail)
+            score += 1.0 if alone and _JOB.search(tail.strip()[:60].split("\n")[0]) else 0.0
+        if score >= need:
+            yield start, end, "name", self.text[start:end]
 
 
 def _labelled(text: str, low: str, label: str, at: int, any_case: bool) -> Iterator[tuple[int, int, str, str]]:
@@ -532,6 +650,16 @@ def _labelled(text: str, low: str, label: str, at: int, any_case: bool) -> Itera
     if back:
         yield start, back, "name", text[start:back]
         return
+    if label.startswith(("name", "nombre", "nom", "candidate", "applicant", "resume", "résumé", "cv", "curriculum")) and not any_case:
+        found = _Names(text)
+        turned = _TURNED.match(text, start)
+        if turned and not any(map(_blocked, [turned.group(1), *turned.group(2).split()])) and re.match(r"\s*(?:\n|  |[|•·;,]|$)", text[turned.end() : turned.end() + 4]) and turned.group(2)[0].isupper():
+            yield start, turned.end(), "name", turned.group(0)
+            return
+        run = found.run(start)
+        if run and not any(map(_blocked, run[1])) and not firm_follows(text, run[0]):
+            yield start, run[0], "name", text[start : run[0]]
+            return
     title = re.match(r"(?:dr|mr|mrs|ms|prof)\.? ", text[start : start + 6], re.I)
     start += title.end() if title else 0
     got = parse_name(text, start, True, any_case)
@@ -576,47 +704,90 @@ def _unlabelled(text: str, start: int, any_case: bool) -> Iterator[tuple[int, in
 
 # --- all kinds --------------------------------------------------------------------------------------------------------
 
-_SWAPPED = re.compile(r"\b[a-zà-ÿ][A-ZÀ-Ý]{2,}")
+_SWAPPED = re.compile(r"(?<![^\W_])[a-zà-ÿ][A-ZÀ-Ý]{2,}")
+_NORMAL = re.compile(r"(?<![^\W_])[A-ZÀ-Ý][a-zà-ÿ]{2,}")
+_CHUNK = re.compile(r"[^\n|•·]+?(?=[\n|•·]|\s{2}|(?<=[.!?;:]) |\Z)")
 
 
-def items(text: str | None, is_html: bool) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, item) of every personal item, by place in the original, without overlaps."""
+def unswapped(text: str) -> str:
+    """The text with the case of those parts turned round in which words begin small and go on in capitals."""
+    if not _SWAPPED.search(text):
+        return text
+
+    parts = list(_CHUNK.finditer(text))
+    odd = [len(_SWAPPED.findall(m.group(0))) - len(_NORMAL.findall(m.group(0))) for m in parts]
+    # a part without either kind of word goes with the one before it, at the beginning with the one after
+    last = next((x > 0 for x in odd if x), False)
+    out, at = [], 0
+    for m, x in zip(parts, odd):
+        last = x > 0 if x else last
+        turned = m.group(0).swapcase()
+        out += [text[at : m.start()], turned if last and len(turned) == len(m.group(0)) else m.group(0)]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
+def accounts(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Bank accounts that check: no other item is read within them."""
+    for m in _IBAN.finditer(text):
+        if 15 <= len(value_of(m.group(0))) <= 34 and mod97(m.group(0).replace(" ", "")):
+            yield m.start(), m.end(), "account", m.group(0)
+
+
+RANK = {"account": -1, "email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
+
+
+def readable_items(text: str | None, is_html: bool) -> tuple[View | None, list[tuple[int, int, str, str]]]:
+    """The readable view and (start, end, kind, item) of every item in it, without overlaps."""
     if not text or not text.strip():
-        return []
+        return None, []
     view = view_of(text, is_html)
-    clean = view.text
-    swapped = len(_SWAPPED.findall(clean[:400])) > 3 and len(clean.swapcase()) == len(clean)
-    read = clean.swapcase() if swapped else clean
-    found = [*emails(read), *numbers(read), *addresses(read), *names(read)]
+    read = unswapped(view.text)
+    found = [*accounts(read), *emails(read), *numbers(read), *addresses(read), *names(read)]
+    starts: list[int] = []
     taken: list[tuple[int, int, str, str]] = []
-    rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
-    for start, end, kind, item in sorted(found, key=lambda x: (rank[x[2]], x[0] - x[1])):
-        if all(end <= s or start >= e for s, e, _, _ in taken):
-            taken.append((start, end, kind, item))
-    return sorted((view.place(s), view.place(e - 1) + 1, kind, item) for s, e, kind, item in taken)
+    for item in sorted(found, key=lambda x: (RANK[x[2]], x[0] - x[1])):
+        at = bisect.bisect_right(starts, item[0])
+        if (at == 0 or taken[at - 1][1] <= item[0]) and (at == len(taken) or item[1] <= taken[at][0]):
+            starts.insert(at, item[0])
+            taken.insert(at, item)
+    return view, taken
+
+
+def items(text: str | None, is_html: bool) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, item) of every personal item, by place in the original, without overlaps."""
+    view, found = readable_items(text, is_html)
+    return [(view.place(s), view.place(e - 1) + 1, kind, item) for s, e, kind, item in found if kind != "account"]
 
 
 def value_of(item: str) -> str:
     return "".join(c for c in item.lower() if c.isalnum())
 
 
-PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
+PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]", "account": "[BANK_ACCOUNT]"}
 
 
 def redact(text: str | None, is_html: bool) -> str | None:
-    """The text with every item replaced by the placeholder of its type, and cards and bank accounts that check."""
+    """The text with every item replaced by the placeholder of its type, and cards and bank accounts that check.
+
+    Of an item that mark-up interrupts, the first piece of text becomes the placeholder, the others go, the mark-up stays.
+    """
     if text is None:
         return None
+    view, found = readable_items(text, is_html)
+    cuts: list[tuple[int, int, str]] = []
+    for start, end, kind, _ in found:
+        put = PLACEHOLDER[kind]
+        for at, stop in view.pieces(start, end):
+            cuts.append((at, stop, put))
+            put = ""
     out, last = [], 0
-    for start, end, kind, _ in items(text, is_html):
-        if start < last:
-            continue
-        out += [text[last:start], PLACEHOLDER[kind]]
-        last = max(end, last)
+    for at, stop, put in sorted(cuts):
+        if at >= last:
+            out += [text[last:at], put]
+            last = stop
     out.append(text[last:])
-    done = "".join(out)
-    done = _IBAN.sub(lambda m: "[BANK_ACCOUNT]" if 15 <= len(value_of(m.group(0))) <= 34 and mod97(m.group(0).replace(" ", "")) else m.group(0), done)
-    return _CARD.sub(lambda m: "[CARD]" if luhn(re.sub(r"\D", "", m.group(0))) and 13 <= sum(c.isdigit() for c in m.group(0)) <= 19 else m.group(0), done)
+    return _CARD.sub(lambda m: "[CARD]" if luhn(re.sub(r"\D", "", m.group(0))) and 13 <= sum(c.isdigit() for c in m.group(0)) <= 19 else m.group(0), "".join(out))
 
 
 def found(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("resume_str", "resume_html")) -> DataFrame:

@@ -69,10 +69,27 @@ def test_html_reads_attributes_comments_entities_and_split_items():
 
 def test_redaction_keeps_the_rest():
     assert pii.redact("Tel: 691-697-0249, ask Dr. Rosa Vane", False) == "Tel: [PHONE], ask Dr. [NAME]"
-    assert pii.redact('<a href="mailto:a@b.example"><b>a@</b>b.example</a> x', True) == '<a href="mailto:[EMAIL]"><b>[EMAIL]</a> x'
+    assert pii.redact('<a href="mailto:a@b.example"><b>a@</b>b.example</a> x', True) == '<a href="mailto:[EMAIL]"><b>[EMAIL]</b></a> x'
     assert pii.redact(None, False) is None and pii.redact("", True) == ""
 
 
+def test_mark_up_within_items_stays():
+    assert pii.redact("<p>Rosa <i>Vane</i>, <b>Sales</b> Manager &#97;@b.example</p>", True) == "<p>[NAME]<i></i>, <b>Sales</b> Manager [EMAIL]</p>"
+    assert pii.redact('<input value="a@b.c">', True) == '<input value="a@b.co">'.replace("a@b.co", "a@b.c") and pii.redact('<input value="a@b.co">', True) == '<input value="[EMAIL]">'
+
+
+def test_letter_case_is_judged_by_part_and_over_whole_texts():
+    plain = "Kept the ledgers of two sites in order and ran weekly reviews. " * 9
+    assert ("name", "johnsmith") in of(plain + "\nnAME: jOHN sMITH\nsALES mANAGER\n" + plain)
+    assert ("name", "johnsmith") in of("nAME: jOHN sMITH\n" + plain)
+    shouted = "KEPT THE LEDGERS OF TWO SITES IN ORDER. " * 9
+    assert of(shouted + plain * 9 + "Reported to Thandi Mokoena until the merger.") == {("name", "thandimokoena")}
+
+
+def test_an_account_holds_no_other_item():
+    assert of("Pay to DE89 3704 0044 0532 0130 00, tel. 691-697-0249") == {("phone", "6916970249")}
+
+
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")

@@ -17,3 +17,17 @@ REST = " Kept the ledgers of two sites in order, ran weekly reviews and trained
 )
 def test_unlisted_names_after_cues_and_at_line_heads(text, want):
     assert [item for _, _, kind, item in pii.items(text, False) if kind == "name"] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Deputised for Thandiwe Lwazi Drayolini during parental leave." + REST, ["Thandiwe Lwazi Drayolini"]), ("Worked closely with Oisin Kessaldo and the finance desk." + REST, ["Oisin Kessaldo"]),
+        ("Reported to Linduadi, Eilidh until the merger." + REST, ["Linduadi, Eilidh"]), ("REFEREES\nFarruvane, Oisin, Audit Associate, Vantor Holdings\n" + REST, ["Farruvane, Oisin"]),
+        ("Name: Tariq E. Marbovane\nSYSTEMS ADMINISTRATOR\n" + REST, ["Tariq E. Marbovane"]), ("TARIQ LORRIAK\nPROCESS CONSULTANT\n" + REST, ["TARIQ LORRIAK"]), ("Resume of Nkechi Eilidh Mundovic\nBuyer\n" + REST, ["Nkechi Eilidh Mundovic"]),
+        ("Nkechi Yarrberg, Mechanical Engineer, Northlight Motors, nkechi.yarrberg+jobs@post.test\n" + REST, ["Nkechi Yarrberg"]),
+        ("Training\nFirst Aid Certificate (2018)\n" + REST, []), ("Key Skills\nExcel, CRM, Lead Generation\n" + REST, []), ("Worked with suppliers and Brightfold Group on plans." + REST, []), ("Reported to Night Ledgers until 2019." + REST, []),
+    ],
+)
+def test_names_by_context(text, want):
+    assert [item for _, _, kind, item in pii.items(text, False) if kind == "name"] == want
