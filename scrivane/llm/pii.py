@@ -19,6 +19,7 @@ import bisect
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -385,15 +386,20 @@ _JOB = re.compile(
 _LABELS = ("name:", "name :", "name -", "nombre:", "nom:", "candidate:", "applicant:", "resume of ", "resume for ", "résumé of ", "cv of ", "curriculum vitae of ", "dr. ", "mr. ", "mrs. ", "ms. ", "prof. ", "dr ", "mr ", "mrs ", "ms ", "miss ")
 _LEFT_CUE = re.compile(r"(?:^|[\s(])(?:for|to|by|from|with|under|of|and|contact|supervisor|referee|reference)\s$", re.I)
 _LINE_START = re.compile(r"(?:(?:^|[\n|•·;/\"“”>]|\s{2})[ *+\-–—‣▪>#\r]*)(?:(?:references?|referees?|contact(?: details)?|personal (?:details|information))\s?:? *)?$", re.I)
-_INITIAL = re.compile(r"[^\W\d_](?<![\w.'].)\.(?= [^\W\d_])")
+_INITIAL = re.compile(r"\.(?= [^\W\d_])(?<=[^\W\d_]\.)(?<![\w.'][^\W\d_]\.)")
 #: Cues after which any capitalised word may begin a name.
 _NAME_CUE = re.compile(
     r"(?<![^\W_])(?i:report(?:ed|ing|s)(?: directly)? to|(?:supervised|managed|mentored|referred|trained|hired|led) by|supervisor|line manager|referees?|references?|contact|deputi[sz]ed for|(?:took over|(?:took )?handover) from"
     r"|work(?:ed|ing|s)? (?:closely )?with|alongside|on behalf of|assistant to)(?: is| was)?(?::|,)?\s+(?:(?i:dr|mr|mrs|ms|prof)\.? )?(?=[^\W\d_])"
 )
+#: What a cue may begin with.
+_CUE_HEADS = ("report", "supervis", "line manager", "managed", "mentored", "referred", "trained", "hired", "led by", "referee", "reference", "contact", "deputi", "took ", "handover", "work", "alongside", "on behalf", "assistant to")
 #: Cues that name a person even where letter case tells nothing; what follows the name then decides.
 _FIRM_CUE = re.compile(r"(?i:report(?:ed|ing|s)(?: directly)? to|(?:mentored|supervised) by|referees?|references?|deputi[sz]ed for|(?:took )?handover from)")
-_HEAD = re.compile(r"(?:^|\s{2}|[|•·])[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-z][^\W\d_]*['.-]?[^\W\d_]*)", re.M)
+_HEAD = re.compile(
+    r"(?:^|\s{2}|[|•·])[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-zß-ÿ][\w'’.-]*,? (?:[^\W\d_a-zß-ÿ]|(?:van|der|den|de|la|von|el|al|da|di|du|bin|ibn|le|del|dos|st|zu|ter) ))",
+    re.M,
+)
 #: Words after a name that go on with a sentence.
 _GOES_ON = re.compile(r" (?:until|during|in|and|for|at|on|from|as|while|before|after|to|since|through|with)\b", re.I)
 #: Capitalised words that begin or end names of offices, teams and places, not of persons.
@@ -408,10 +414,12 @@ _OFFICE = set(
 _WORD = re.compile(r"[^\W\d_][\w']*(?:-[^\W\d_][\w']*)*\.?")
 
 
+@lru_cache(maxsize=2)
 def mostly_capital(text: str) -> bool:
-    """Whether letter case carries no information in a text: all capitals, or nearly every word capitalised."""
-    sample = re.findall(r"[^\W\d_]{4,}", text)
-    return bool(sample) and sum(w[0].isupper() for w in sample) > 0.85 * len(sample)
+    """Whether letter case carries no information in a text: of its words of four signs or more nearly all begin large."""
+    begin = [w[0] for w in text.split() if len(w) > 3]
+    letters = sum(map(str.isalpha, begin))
+    return letters > 0 and sum(map(str.isupper, begin)) > 0.85 * letters
 
 
 def parse_name(text: str, start: int, trusted: bool, any_case: bool = False) -> tuple[int, bool] | None:
@@ -497,8 +505,8 @@ def names(text: str) -> Iterator[tuple[int, int, str, str]]:
             if not (at and low[at - 1].isalnum()):
                 yield from _labelled(text, low, label, at, any_case)
             at = low.find(label, at + 1)
-    starts = {m.start() for m in _INITIAL.finditer(text)}
-    for given in GIVEN.intersection([t.strip(".,:;()[]|•*\"“”–—-") for t in low.split()]):
+    starts = {m.start() - 1 for m in _INITIAL.finditer(text)}
+    for given in GIVEN.intersection({t.strip(".,:;()[]|•*\"“”–—-") for t in set(low.split())}):
         at = low.find(given)
         while at >= 0:
             end = at + len(given)
@@ -610,11 +618,16 @@ class _Names:
     def find(self) -> Iterator[tuple[int, int, str, str]]:
         text = self.text
         first = len(text) - len(text.lstrip())
-        for m in _NAME_CUE.finditer(text):
-            strict = bool(_FIRM_CUE.match(m.group(0)))
-            if self.flat and not strict:
-                continue
-            yield from self.at(m.end(), True, False, need=1.0)
+        low = text.lower()
+        ends: set[int] = set()
+        for head in _CUE_HEADS if len(low) == len(text) else ():
+            at = low.find(head)
+            while at >= 0:
+                m = _NAME_CUE.match(text, at)
+                if m and m.end() not in ends and not (self.flat and not _FIRM_CUE.match(m.group(0))):
+                    ends.add(m.end())
+                    yield from self.at(m.end(), True, False, need=1.0)
+                at = low.find(head, at + 1)
         if self.flat:
             return
         for m in _HEAD.finditer(text):
