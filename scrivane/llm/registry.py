@@ -88,6 +88,23 @@ _KEYED = r"""
 """
 
 
+_SHINGLES = r"""
+    WITH w AS (SELECT DISTINCT id, list_filter(string_split_regex(lower(resume_str), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM resume WHERE id IS NOT NULL AND resume_str IS NOT NULL),
+    k AS (SELECT id, list_sort(w) AS bag, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+    g AS (SELECT id, unnest(s) AS g FROM k), n AS (SELECT id, len(s) AS n, bag, hash(list_sort(s)) AS same FROM k),
+    b AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+    p AS (SELECT a, b, m.bag = o.bag AS equal, CAST(shared AS DOUBLE) / (m.n + o.n - shared) AS similarity FROM b JOIN n m ON m.id = a JOIN n o ON o.id = b WHERE 10 * shared >= 7 * (m.n + o.n - shared))
+"""
+
+
+_SPLITS = r"""
+    , f AS (SELECT resume_id AS id, min({'f': CASE lower(trim(split, E' \t\r\n')) WHEN 'train' THEN 1 ELSE 2 END, 's': lower(trim(split, E' \t\r\n')), 'o': source}) AS f FROM resume_split
+      WHERE resume_id IS NOT NULL AND lower(trim(split, E' \t\r\n')) IN ('train', 'validation', 'test') GROUP BY resume_id),
+    e AS (SELECT x.id AS a, y.id AS b, 1.0::DOUBLE AS similarity FROM n x JOIN n y ON x.bag = y.bag AND x.id < y.id UNION ALL SELECT a, b, similarity FROM p WHERE NOT equal),
+    t AS (SELECT e.*, x.f AS fa, y.f AS fb FROM e JOIN f x ON x.id = a JOIN f y ON y.id = b WHERE x.f.f <> y.f.f)
+"""
+
+
 _QUOTA = r"""
     WITH r AS (SELECT id, min(upper(trim(category, E' \t\r\n'))) AS category FROM resume
                WHERE id IS NOT NULL AND trim(category, E' \t\r\n') <> '' GROUP BY id),
@@ -102,6 +119,11 @@ _QUOTA = r"""
 def oracle_sql() -> dict[str, str]:
     keep = f"SELECT id, min(id) OVER (PARTITION BY words) AS keep_id FROM ({_KEYED}) WHERE len(words) >= 30"
     return {
+        "p2_found": _SHINGLES + _SPLITS + "SELECT a AS id_a, b AS id_b FROM t",
+        "p3_found": _SHINGLES + "SELECT a AS id_a, b AS id_b FROM p WHERE NOT equal",
+        "p3_links": _SHINGLES + """, c AS (SELECT id, min(id) OVER (PARTITION BY same, bag) AS class_id FROM n), r AS (SELECT DISTINCT class_id FROM c),
+            l AS (SELECT class_id, count(*) AS links FROM (SELECT a AS class_id, b AS other FROM p UNION ALL SELECT b, a FROM p) q WHERE other IN (SELECT class_id FROM r) GROUP BY class_id)
+            SELECT c.id, c.class_id, coalesce(links, 0) AS links FROM c LEFT JOIN l ON l.class_id = c.class_id""",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p4_found": f"SELECT keep_id, id AS copy_id FROM ({keep}) WHERE keep_id <> id",
         "p5_sample": _QUOTA + """SELECT q.target_name, r.category, r.id
