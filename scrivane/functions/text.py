@@ -11,7 +11,6 @@ import unicodedata
 from collections.abc import Callable, Iterable, Set
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -25,8 +24,21 @@ WORD = r"\p{L}\p{N}_"
 EMAIL = rf"[{WORD}.\-+]+@[{WORD}.\-]+\.[a-zA-Z]{{2,}}"
 PHONE = rf"\+?\p{{Nd}}[\p{{Nd}}{SPACE}\-()]{{7,}}\p{{Nd}}"
 URL = r"https?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
-#: Stop words that carry meaning in a resume.
-KEPT_STOP_WORDS = ("not", "no", "nor", "both", "either", "neither", "c", "r")
+#: The English stop words that ship with Spark, less those that carry meaning in a resume
+#: (not, no, nor, both, either, neither, c, r).
+ENGLISH_STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "each", "few", "more", "most", "other", "some", "such",
+    "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "i'll", "you'll", "he'll", "she'll",
+    "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've",
+    "we've", "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't",
+    "wouldn't", "shan't", "shouldn't", "mustn't", "can't", "couldn't", "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's",
+    "what's", "when's", "where's", "who's", "why's", "would",
+)
 #: Contractions that the tokenizer cuts in two.
 CONTRACTIONS = {"cannot": "can not", "gonna": "gon na", "gotta": "got ta", "gimme": "gim me", "lemme": "lem me", "wanna": "wan na"}
 #: Noun endings and what they become, tried in order.
@@ -134,9 +146,8 @@ def clean_for_extraction(text: Column) -> Column:
 
 
 def stop_words(spark: SparkSession) -> list[str]:
-    """The English list that ships with Spark, less the words that matter in a resume."""
-    words = StopWordsRemover.loadDefaultStopWords("english")
-    return sorted(set(words) - set(KEPT_STOP_WORDS))
+    """The words that full cleaning drops."""
+    return list(ENGLISH_STOP_WORDS)
 
 
 def base_form(word: str, lexicon: Set[str]) -> str:

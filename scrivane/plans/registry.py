@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrivane.functions import credentials, extract, quality, text
 from scrivane.operators import features, metrics, models, recommend, stats
 from scrivane.plans import analyze
+from scrivane.plans import extraction_sql as xs
 from scrivane.runtime import spread, table
 from scrivane.sources import files
 
@@ -206,7 +207,7 @@ def numbers_removed(spark, folder):
     return documents(spark, folder).where("text is not null").select("doc_id", text.normalize_whitespace(text.remove_numbers(plain)).alias("text"))
 
 
-@query()
+@query(xs.numbers_marked)
 def numbers_marked(spark, folder):
     return documents(spark, folder).select("doc_id", text.mark_numbers(F.col("text")).alias("text"))
 
@@ -221,22 +222,22 @@ def truncated(spark, folder):
     return documents(spark, folder).select("doc_id", text.truncate(F.col("text")).alias("text"))
 
 
-@query()
+@query(xs.extracted_text_cleaned)
 def extracted_text_cleaned(spark, folder):
     return documents(spark, folder).select("doc_id", text.clean_extracted(F.col("text")).alias("text"))
 
 
-@query()
+@query(xs.unicode_folded)
 def unicode_folded(spark, folder):
     return documents(spark, folder).select("doc_id", text.fold("text").alias("text"))
 
 
-@query()
+@query(xs.light_clean)
 def light_clean(spark, folder):
     return resumes(spark, folder, "resume_html").select("id", text.clean_for_extraction(F.col("resume_html")).alias("text"))
 
 
-@query()
+@query(xs.classification_clean)
 def classification_clean(spark, folder):
     return classified_text(spark, folder).select("id", "clean")
 
@@ -246,7 +247,7 @@ def classified_text(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", category().alias("category"), text.clean_for_classification(F.col("resume_str"), text.stop_words(spark)).alias("clean"))
 
 
-@query()
+@query(xs.word_tokens)
 def word_tokens(spark, folder):
     plain = text.remove_punctuation(F.col("text"))
     return documents(spark, folder).where("text is not null").select("doc_id", F.array_join(text.word_tokens(plain), " ").alias("words"))
@@ -259,7 +260,7 @@ def lemma_clean(spark, folder):
     return rows.select("id", F.array_join(text.lemmas(F.col("words"), text.lexicon_from(rows, "words")), " ").alias("clean"))
 
 
-@query()
+@query(xs.bullets_stripped)
 def bullets_stripped(spark, folder):
     return documents(spark, folder).select("doc_id", text.strip_bullets(F.col("text")).alias("text"))
 
@@ -302,48 +303,48 @@ def skill_dictionary(spark: SparkSession, folder: str) -> dict[str, str]:
 _ALL_SECTIONS = ("skills", "education", "experience", "certifications", "languages", "soft_skills", "projects", "summary")
 
 
-@query()
+@query(xs.section_text)
 def section_text(spark, folder):
     pieces = clean_resumes(spark, folder).select("id", extract.headed(F.col("t")).alias("p"))
     return pieces.select("id", *(extract.section_of(F.col("p"), k).alias(k) for k in _ALL_SECTIONS))
 
 
-@query()
+@query(xs.section_items)
 def section_items(spark, folder):
     return clean_resumes(spark, folder).select("id", extract.split_items(extract.section(F.col("t"), "skills")).alias("items"))
 
 
-@query()
+@query(xs.emails)
 def emails(spark, folder):
     return clean_resumes(spark, folder).select("id", extract.email(F.col("t")).alias("email"))
 
 
-@query()
+@query(xs.phones)
 def phones(spark, folder):
     return clean_resumes(spark, folder).select("id", extract.phone(F.col("t")).alias("phone"))
 
 
-@query()
+@query(xs.links)
 def links(spark, folder):
     return clean_resumes(spark, folder).select("id", extract.links(F.col("t")).alias("links"))
 
 
-@query()
+@query(xs.names)
 def names(spark, folder):
     return clean_resumes(spark, folder).select("id", extract.name(F.col("t"), list(skill_dictionary(spark, folder))).alias("name"))
 
 
-@query()
+@query(xs.locations)
 def locations(spark, folder):
     return clean_resumes(spark, folder).select("id", extract.location(F.col("t")).alias("location"))
 
 
-@query()
+@query(xs.skills)
 def skills(spark, folder):
     return clean_resumes(spark, folder).select("id", extract.skills(F.col("t"), skill_dictionary(spark, folder)).alias("skills"))
 
 
-@query()
+@query(xs.education)
 def education(spark, folder):
     return outlined(spark, folder).select("id", credentials.education(F.col("clean"), F.col("parts.education")).alias("e")).select("id", "e.*")
 
@@ -354,12 +355,12 @@ def experience_entries(spark, folder):
     return rows.select("id", "work.*")
 
 
-@query()
+@query(xs.certifications)
 def certifications(spark, folder):
     return outlined(spark, folder).select("id", credentials.certifications(F.col("clean"), F.col("parts.certifications")).alias("certifications"))
 
 
-@query()
+@query(xs.languages)
 def languages(spark, folder):
     return outlined(spark, folder).select("id", credentials.languages(F.col("parts.languages")).alias("languages"))
 
@@ -428,7 +429,7 @@ def skill_gap(spark, folder):
     return scored(spark, folder).select("resume_id", F.array_join("keyword_gap", "|").alias("gap"))
 
 
-@query()
+@query(xs.recommendations(_SCORE))
 def recommendations(spark, folder):
     return scored(spark, folder)
 
@@ -436,12 +437,12 @@ def recommendations(spark, folder):
 _RECORD_COLUMNS = ["name", "email", "phone", "location", "skills", "degrees", "universities", "job_titles"]
 
 
-@query()
+@query(xs.record_text)
 def record_text(spark, folder):
     return stats.distinct_rows(table(spark, folder, "extracted_record")).select("resume_id", recommend.formatted(_RECORD_COLUMNS).alias("text"))
 
 
-@query()
+@query(xs.degree_display)
 def degree_display(spark, folder):
     rows = stats.distinct_rows(table(spark, folder, "extracted_record")).select("resume_id", F.explode("degrees").alias("degree"))
     return rows.select("resume_id", "degree", recommend.degree_badge(F.col("degree")).alias("badge"), recommend.degree_parts(F.col("degree")).alias("parts"))
