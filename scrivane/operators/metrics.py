@@ -61,3 +61,14 @@ def top_labels(probabilities: Column, names: Column, most: int = 3) -> Column:
 def comparison_text(rows: DataFrame, metrics: list[str], name: str = "model") -> DataFrame:
     """Each model's metrics with four decimals, as the lines of a comparison file; a missing metric is 0."""
     return rows.select(F.concat_ws(",", F.col(name), *(F.format_string("%.4f", F.coalesce(F.col(m), F.lit(0.0))) for m in metrics)).alias("value"))
+
+
+def report_text(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Lines of a printed classification report: (by, value), the row's name, precision, recall, F1 and support."""
+    number = lambda c: F.when(F.col(c).isNull(), F.lit(" " * 9)).otherwise(F.format_string("%9.2f", F.col(c)))
+    return rows.select(*by, F.concat(F.lpad("row", 24, " "), number("precision"), number("recall"), number("f1"), F.format_string("%9d", F.col("support"))).alias("value"))
+
+
+def save_report(lines: DataFrame, path: str) -> None:
+    """Write report or comparison lines as text, one file a partition."""
+    lines.select("value").write.mode("overwrite").text(path)

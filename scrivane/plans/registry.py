@@ -586,6 +586,14 @@ def class_report(spark, folder):
     return metrics.report(predicted(spark, folder), ["model"])
 
 
+@query(_SUMMARY + """, w AS (SELECT model, CAST(label AS VARCHAR) AS row, round(precision, 2) AS precision, round(recall, 2) AS recall, round(f1, 2) AS f1, support FROM k
+    UNION ALL SELECT model, 'accuracy', NULL, NULL, round(accuracy, 2), n FROM z UNION ALL SELECT model, 'macro avg', round(macro_precision, 2), round(macro_recall, 2), round(macro_f1, 2), n FROM z
+    UNION ALL SELECT model, 'weighted avg', round(weighted_precision, 2), round(weighted_recall, 2), round(weighted_f1, 2), n FROM z)
+    SELECT model, lpad(row, 24, ' ') || coalesce(printf('%9.2f', precision), repeat(' ', 9)) || coalesce(printf('%9.2f', recall), repeat(' ', 9)) || printf('%9.2f', f1) || printf('%9d', support) AS value FROM w""")
+def report_file(spark, folder):
+    return metrics.report_text(metrics.report(predicted(spark, folder), ["model"]), ["model"])
+
+
 @query(_SUMMARY + " SELECT * FROM z ORDER BY weighted_f1 DESC, model LIMIT 1")
 def best_model(spark, folder):
     return metrics.best(metrics.summary(predicted(spark, folder), ["model"]))
@@ -616,6 +624,12 @@ def files_extracted(spark, folder):
     return files.extracted(table(spark, folder, "resume_file").dropDuplicates(["resume_id", "path"])).select("resume_id", "path", "kind", "text", "status")
 
 
+@query()
+def samples_analyzed(spark, folder):
+    """The sample texts through the whole analysis, with the dictionary of the data folder."""
+    return analyze.analyzed(files.pasted(spark, files.SAMPLES), skill_dictionary(spark, folder), source="input_source")
+
+
 @query("""SELECT status_kind, kind, count(*) AS n FROM (SELECT DISTINCT resume_id, path, content, CASE WHEN regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx' WHEN regexp_matches(lower(path), '\\.(jpg|jpeg|png|webp|tiff|bmp)$') THEN 'image' ELSE 'text' END AS kind,
     'any' AS status_kind FROM resume_file) GROUP BY ALL""")
 def file_kinds(spark, folder):
