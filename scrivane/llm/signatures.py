@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.llm.blocks import LIST
-from scrivane.llm.words import MIN_WORDS, Frequencies, IdFilter, bucket_counts, distinct, grams, id_filter, multiset_key, pack40, sketch, table_bits, word_hashes
+from scrivane.llm.words import MIN_WORDS, Frequencies, IdFilter, bucket_counts, distinct, grams, id_filter, multiset_key, pack40, sketch, word_hashes
 from scrivane.runtime import cut, spread
 
 KEY = ["set1", "set2", "bag1", "bag2"]
@@ -30,7 +30,7 @@ def shingle_frequencies(rows: DataFrame, least_words: int) -> Frequencies:
             if len(h) >= least_words:
                 yield distinct(grams(h))
 
-    return bucket_counts(rows.select("text"), values, table_bits(rows))
+    return bucket_counts(rows.select("text"), values)
 
 
 def record_signatures(rows: DataFrame, tokens_of: Callable, least_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from scrivane.runtime import ship
@@ -22,7 +23,8 @@ from scrivane.runtime import ship
 WORD = re.compile(r"[^\W_]+")
 MIN_WORDS = 30
 SHINGLE = 3
-BUCKET_BITS = 22
+#: 16 million buckets of one byte.
+BUCKET_BITS = 24
 _CHUNKS = 64
 _CACHE = 1_000_000
 
@@ -205,21 +207,33 @@ class Frequencies:
 _LEVELS = np.unique(np.r_[np.arange(11), np.ceil(10 * 1.103 ** np.arange(1, 246))].astype(np.int64))[:256]
 
 
-def table_bits(df: DataFrame) -> int:
-    """Bits of a table for the values of a text table: about one bucket for 64 bytes, from 2**22 to 2**24 buckets."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(24, max(22, size.bit_length() - 6))
+def _packed(total: np.ndarray) -> bytes:
+    """Counts of one chunk: distances of the buckets that hold any, then their counts, both compressed."""
+    at = np.flatnonzero(total)
+    gaps = zlib.compress(np.diff(at, prepend=0).astype("<u4").tobytes(), 1)
+    return np.uint32(len(gaps)).tobytes() + gaps + zlib.compress(np.minimum(total[at], 2**32 - 1).astype("<u4").tobytes(), 1)
+
+
+def _added(rows: pa.ChunkedArray, step: int) -> np.ndarray:
+    total = np.zeros(step, dtype=np.int64)
+    for data in rows:
+        raw = data.as_py()
+        size = int(np.frombuffer(raw, dtype="<u4", count=1)[0])
+        at = np.cumsum(np.frombuffer(zlib.decompress(raw[4 : 4 + size]), dtype="<u4"), dtype=np.int64)
+        total[at] += np.frombuffer(zlib.decompress(raw[4 + size :]), dtype="<u4")
+    return total
 
 
 def bucket_counts(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = BUCKET_BITS) -> Frequencies:
     """How many values of all rows fall into each of 2**bits hash buckets, by their top bits.
 
-    Every task adds up its own counts, tasks' counts meet in a shuffle of compressed chunks, and what reaches the
-    driver is one byte a bucket: 4 to 16 MB.
+    Every task adds up its own counts, tasks' counts meet in two shuffles of compressed chunks - first of about the
+    square root of the tasks, so that no group grows with the corpus - and the driver receives one byte a bucket, 16 MB.
     """
     ship(df.sparkSession)
     size = 1 << bits
     step = size // _CHUNKS
+    groups = max(1, math.isqrt(df.rdd.getNumPartitions()))
 
     def part(batches):
         total = np.zeros(size, dtype=np.uint32)
@@ -230,19 +244,23 @@ def bucket_counts(df: DataFrame, values_of: Callable[[pa.RecordBatch], Iterator[
                 first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
                 total[at[first]] += np.diff(np.r_[first, len(at)]).astype(np.uint32)
         if total.any():
-            data = [zlib.compress(total[i * step : (i + 1) * step].astype("<u4").tobytes(), 1) for i in range(_CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(data, pa.binary())], ["chunk", "counts"])
+            mine = TaskContext.get().partitionId() % groups
+            data = [_packed(total[i * step : (i + 1) * step]) for i in range(_CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array([mine] * _CHUNKS, pa.int32()), pa.array(range(_CHUNKS), pa.int32()), pa.array(data, pa.binary())], ["part", "chunk", "counts"])
 
-    def merge(rows: pa.Table) -> pa.Table:
-        total = np.zeros(step, dtype=np.int64)
-        for data in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(data.as_py()), dtype="<u4")
-        level = np.minimum(np.searchsorted(_LEVELS, total), len(_LEVELS) - 1).astype(np.uint8)
-        return pa.table({"chunk": pa.array([rows["chunk"][0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
+    def some(rows: pa.Table) -> pa.Table:
+        return pa.table({"chunk": rows["chunk"].slice(0, 1), "counts": pa.array([_packed(_added(rows["counts"], step))], pa.binary())})
+
+    def all_of(rows: pa.Table) -> pa.Table:
+        level = np.minimum(np.searchsorted(_LEVELS, _added(rows["counts"], step)), len(_LEVELS) - 1).astype(np.uint8)
+        return pa.table({"chunk": rows["chunk"].slice(0, 1), "counts": pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())})
 
     kind = "chunk int, counts binary"
+    found = df.mapInArrow(part, "part int, " + kind)
+    if groups > 8:
+        found = found.groupBy("part", "chunk").applyInArrow(some, kind)
     out = np.zeros(size, dtype=np.uint8)
-    for row in df.mapInArrow(part, kind).groupBy("chunk").applyInArrow(merge, kind).collect():  # 64 rows
+    for row in found.select("chunk", "counts").groupBy("chunk").applyInArrow(all_of, kind).collect():  # 64 rows
         out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(zlib.decompress(bytes(row.counts)), dtype=np.uint8)
     return Frequencies(out)
 
