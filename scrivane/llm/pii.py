@@ -100,26 +100,41 @@ def view_of(text: str, is_html: bool) -> View:
         view.add(text[last:], last)
         return view.close()
     aside: list[tuple[str, int]] = []
-    last = 0
+    last = length = 0
+    parts, places, origin, width = view.parts, view.at, view.origin, view.width
     for m in _MARK.finditer(text):
-        view.add(text[last : m.start()], last)
-        last = m.end()
+        start, end = m.span()
+        if start > last:
+            parts.append(text[last:start])
+            places.append(length)
+            origin.append((last, True))
+            width.append(0)
+            length += start - last
+        last = end
         name = m.group(2)
         if name is not None:
-            if name.strip("/").lower() not in _INLINE:
-                view.add("\n", m.start(), False)
-            if "=" in m.group(3):
-                for a in _ATTRIBUTE.finditer(m.group(3)):
+            if name not in _INLINE and name.strip("/").lower() not in _INLINE:
+                parts.append("\n")
+                places.append(length)
+                origin.append((start, False))
+                width.append(0)
+                length += 1
+            inside = m.group(3)
+            if "=" in inside:
+                for a in _ATTRIBUTE.finditer(inside):
                     k = a.lastindex
                     value = a.group(k) if k else ""
                     if len(value) > 6 or "@" in value or " " in value or value.isdigit():  # no shorter value can hold an item
                         aside.append((value, m.start(3) + a.start(k)))
         elif m.group(1) is not None:
             aside.append((m.group(1), m.start(1)))
-        elif m.group(0)[0] == "&":
-            view.add(html.unescape(m.group(0)), m.start(), False, len(m.group(0)))
+        elif text[start] == "&":
+            view.length = length
+            view.add(html.unescape(m.group(0)), start, False, end - start)
+            length = view.length
         else:
-            aside.append((m.group(0), m.start()))
+            aside.append((m.group(0), start))
+    view.length = length
     view.add(text[last:], last)
     for piece, at in aside:
         view.add("\n\n", at, False)
@@ -149,6 +164,7 @@ def mod97(account: str) -> bool:
 
 
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
+_IBAN_DIGITS = re.compile(r"\d\d(?<=[A-Za-z]{2}\d\d)(?= ?[A-Za-z0-9]{4})")
 _IBAN = re.compile(r"\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,4})?\b")
 
 # --- e-mail -----------------------------------------------------------------------------------------------------------
@@ -342,6 +358,9 @@ def addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
             continue
         yield m.start(), m.end(1), "address", value
     low = text.lower()
+    present = set(low.split())
+    if present.isdisjoint(_ABROAD_FIRST) and not any(w.endswith(_ABROAD_LAST) for w in present):
+        return
     starts = set()
     for word in _ABROAD_WORDS:
         at = low.find(word)
@@ -356,7 +375,9 @@ def addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield a.start(), a.end(), "address", a.group(0)
 
 
-_ABROAD_WORDS = [*(f"{w} " for w in "calle rue via viale avenida av. avda. plaza paseo rua corso piazza allée chemin impasse camino carrera".split()), *(f"{w} " for w in "straße strasse str. weg gasse allee platz damm steig".split())]
+_ABROAD_FIRST = set("calle rue via viale avenida av. avda. plaza paseo rua corso piazza allée chemin impasse camino carrera".split())
+_ABROAD_LAST = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "steig", *_ABROAD_FIRST)
+_ABROAD_WORDS = [f"{w} " for w in _ABROAD_LAST]
 
 # --- names ------------------------------------------------------------------------------------------------------------
 
@@ -384,6 +405,7 @@ _JOB = re.compile(
     re.I,
 )
 _LABELS = ("name:", "name :", "name -", "nombre:", "nom:", "candidate:", "applicant:", "resume of ", "resume for ", "résumé of ", "cv of ", "curriculum vitae of ", "dr. ", "mr. ", "mrs. ", "ms. ", "prof. ", "dr ", "mr ", "mrs ", "ms ", "miss ")
+_LABEL_WORDS = {label.split()[0].strip(".:") for label in _LABELS}
 _LEFT_CUE = re.compile(r"(?:^|[\s(])(?:for|to|by|from|with|under|of|and|contact|supervisor|referee|reference)\s$", re.I)
 _LINE_START = re.compile(r"(?:(?:^|[\n|•·;/\"“”>]|\s{2})[ *+\-–—‣▪>#\r]*)(?:(?:references?|referees?|contact(?: details)?|personal (?:details|information))\s?:? *)?$", re.I)
 _INITIAL = re.compile(r"\.(?= [^\W\d_])(?<=[^\W\d_]\.)(?<![\w.'][^\W\d_]\.)")
@@ -392,13 +414,16 @@ _NAME_CUE = re.compile(
     r"(?<![^\W_])(?i:report(?:ed|ing|s)(?: directly)? to|(?:supervised|managed|mentored|referred|trained|hired|led) by|supervisor|line manager|referees?|references?|contact|deputi[sz]ed for|(?:took over|(?:took )?handover) from"
     r"|work(?:ed|ing|s)? (?:closely )?with|alongside|on behalf of|assistant to)(?: is| was)?(?::|,)?\s+(?:(?i:dr|mr|mrs|ms|prof)\.? )?(?=[^\W\d_])"
 )
-#: What a cue may begin with.
-_CUE_HEADS = ("report", "supervis", "line manager", "managed", "mentored", "referred", "trained", "hired", "led by", "referee", "reference", "contact", "deputi", "took ", "handover", "work", "alongside", "on behalf", "assistant to")
+#: Words that a cue may begin with.
+_CUE_WORDS = set(
+    "report reported reporting reports supervised supervisor line managed mentored referred trained hired led referee referees reference references contact deputised deputized took handover work worked working works alongside on assistant".split()
+)
 #: Cues that name a person even where letter case tells nothing; what follows the name then decides.
 _FIRM_CUE = re.compile(r"(?i:report(?:ed|ing|s)(?: directly)? to|(?:mentored|supervised) by|referees?|references?|deputi[sz]ed for|(?:took )?handover from)")
+#: Where a line or a part of one begins, and what stands there before two capitalised words.
+_BREAKS = re.compile(r"[\n|•·]|[ \t\r\f\v]\s")
 _HEAD = re.compile(
-    r"(?:^|\s{2}|[|•·])[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-zß-ÿ][\w'’.-]*,? (?:[^\W\d_a-zß-ÿ]|(?:van|der|den|de|la|von|el|al|da|di|du|bin|ibn|le|del|dos|st|zu|ter) ))",
-    re.M,
+    r"[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-zß-ÿ][\w'’.-]*,? (?:[^\W\d_a-zß-ÿ]|(?:van|der|den|de|la|von|el|al|da|di|du|bin|ibn|le|del|dos|st|zu|ter) ))",
 )
 #: Words after a name that go on with a sentence.
 _GOES_ON = re.compile(r" (?:until|during|in|and|for|at|on|from|as|while|before|after|to|since|through|with)\b", re.I)
@@ -499,14 +524,15 @@ def names(text: str) -> Iterator[tuple[int, int, str, str]]:
     low = text.lower()
     if len(low) != len(text):
         low = text
-    for label in _LABELS:
+    present = {t.strip(".,:;()[]|•*\"“”–—-") for t in set(low.replace(":", " ").split())}
+    for label in _LABELS if not present.isdisjoint(_LABEL_WORDS) else ():
         at = low.find(label)
         while at >= 0:
             if not (at and low[at - 1].isalnum()):
                 yield from _labelled(text, low, label, at, any_case)
             at = low.find(label, at + 1)
     starts = {m.start() - 1 for m in _INITIAL.finditer(text)}
-    for given in GIVEN.intersection({t.strip(".,:;()[]|•*\"“”–—-") for t in set(low.split())}):
+    for given in GIVEN.intersection(present):
         at = low.find(given)
         while at >= 0:
             end = at + len(given)
@@ -515,7 +541,7 @@ def names(text: str) -> Iterator[tuple[int, int, str, str]]:
             at = low.find(given, end)
     for start in sorted(starts):
         yield from _unlabelled(text, start, any_case)
-    yield from _Names(text).find()
+    yield from _Names(text).find(low, present)
 
 
 _PART = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
@@ -615,23 +641,27 @@ class _Names:
         evident = _role(self.text, end) or (cue and (_GOES_ON.match(tail) or not tail.strip() or tail[0] == "\n" or tail[:2] == "  "))
         return end if evident else None
 
-    def find(self) -> Iterator[tuple[int, int, str, str]]:
+    def find(self, low: str, present: set[str]) -> Iterator[tuple[int, int, str, str]]:
+        """``low``: the text in small letters; ``present``: its words."""
         text = self.text
-        first = len(text) - len(text.lstrip())
-        low = text.lower()
         ends: set[int] = set()
-        for head in _CUE_HEADS if len(low) == len(text) else ():
-            at = low.find(head)
+        for word in _CUE_WORDS & present:
+            at = low.find(word)
             while at >= 0:
                 m = _NAME_CUE.match(text, at)
                 if m and m.end() not in ends and not (self.flat and not _FIRM_CUE.match(m.group(0))):
                     ends.add(m.end())
                     yield from self.at(m.end(), True, False, need=1.0)
-                at = low.find(head, at + 1)
+                at = low.find(word, at + 1)
         if self.flat:
             return
-        for m in _HEAD.finditer(text):
-            yield from self.at(m.end(), False, True, need=1.0, top=m.start() <= first)
+        first = len(text) - len(text.lstrip())
+        seen = -1
+        for begin in (0, *(m.end() for m in _BREAKS.finditer(text))):
+            m = _HEAD.match(text, begin)
+            if m and m.end() != seen:
+                seen = m.end()
+                yield from self.at(seen, False, True, need=1.0, top=begin <= first)
 
     def at(self, start: int, cue: bool, head: bool, need: float, top: bool = False) -> Iterator[tuple[int, int, str, str]]:
         end = self.turned(start, cue)
@@ -742,7 +772,7 @@ def unswapped(text: str) -> str:
 
 def accounts(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Bank accounts that check: no other item is read within them."""
-    for m in _IBAN.finditer(text):
+    for m in filter(None, (_IBAN.match(text, at.start() - 2) for at in _IBAN_DIGITS.finditer(text))):
         if 15 <= len(value_of(m.group(0))) <= 34 and mod97(m.group(0).replace(" ", "")):
             yield m.start(), m.end(), "account", m.group(0)
 
