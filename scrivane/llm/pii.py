@@ -324,6 +324,11 @@ _AFTER = re.compile(r" ?(&|[^\W\d_]+)")
 
 
 def addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
+    low = text.lower()
+    present = set(low.split())
+    abroad = not present.isdisjoint(_ABROAD_FIRST) or any(w.endswith(_ABROAD_LAST) for w in present)
+    if not abroad and _STREETS.isdisjoint(w.strip(".,;:()[]|<>\"'") for w in present):
+        return
     capital: bool | None = None
     for h in _HOUSE.finditer(text):
         m = _ADDRESS.match(text, h.start())
@@ -357,9 +362,7 @@ def addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
         if capital and re.search(r"[^\W\d_]{2,} $", before) and not re.search(r"(?:address|home|addr|at)\W*$", before, re.I) and words[-1].lower().strip(".") in ("court", "view", "hill", "green", "place", "way", "close", "row", "walk", "rise", "path", "drive", "square"):
             continue
         yield m.start(), m.end(1), "address", value
-    low = text.lower()
-    present = set(low.split())
-    if present.isdisjoint(_ABROAD_FIRST) and not any(w.endswith(_ABROAD_LAST) for w in present):
+    if not abroad:
         return
     starts = set()
     for word in _ABROAD_WORDS:
@@ -376,6 +379,7 @@ def addresses(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 _ABROAD_FIRST = set("calle rue via viale avenida av. avda. plaza paseo rua corso piazza allée chemin impasse camino carrera".split())
+_STREETS = {*_KINDS, "route"}
 _ABROAD_LAST = ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "damm", "steig", *_ABROAD_FIRST)
 _ABROAD_WORDS = [f"{w} " for w in _ABROAD_LAST]
 
@@ -420,11 +424,11 @@ _CUE_WORDS = set(
 )
 #: Cues that name a person even where letter case tells nothing; what follows the name then decides.
 _FIRM_CUE = re.compile(r"(?i:report(?:ed|ing|s)(?: directly)? to|(?:mentored|supervised) by|referees?|references?|deputi[sz]ed for|(?:took )?handover from)")
-#: Where a line or a part of one begins, and what stands there before two capitalised words.
-_BREAKS = re.compile(r"[\n|•·]|[ \t\r\f\v]\s")
-_HEAD = re.compile(
-    r"[ *+\-–—‣▪>#\r•·|]*(?=[^\W\d_a-zß-ÿ][\w'’.-]*,? (?:[^\W\d_a-zß-ÿ]|(?:van|der|den|de|la|von|el|al|da|di|du|bin|ibn|le|del|dos|st|zu|ter) ))",
-)
+#: Two capitalised words, the second perhaps after a particle, at the head of a line or of a part of one.
+_TWO = r"(?=[^\W\d_a-zß-ÿ][\w'’.-]*,? (?:[^\W\d_a-zß-ÿ]|(?:van|der|den|de|la|von|el|al|da|di|du|bin|ibn|le|del|dos|st|zu|ter) ))"
+_MARKS = r"[ *+\-–—‣▪>#\r•·|]*"
+_FIRST = re.compile(_MARKS + _TWO)
+_HEAD = re.compile(r"[\n|•· \t](?:(?<=[\n|•·])|(?<=[ \t])\s)" + _MARKS + _TWO)
 #: Words after a name that go on with a sentence.
 _GOES_ON = re.compile(r" (?:until|during|in|and|for|at|on|from|as|while|before|after|to|since|through|with)\b", re.I)
 #: Capitalised words that begin or end names of offices, teams and places, not of persons.
@@ -656,12 +660,8 @@ class _Names:
         if self.flat:
             return
         first = len(text) - len(text.lstrip())
-        seen = -1
-        for begin in (0, *(m.end() for m in _BREAKS.finditer(text))):
-            m = _HEAD.match(text, begin)
-            if m and m.end() != seen:
-                seen = m.end()
-                yield from self.at(seen, False, True, need=1.0, top=begin <= first)
+        for m in filter(None, (_FIRST.match(text), *_HEAD.finditer(text))):
+            yield from self.at(m.end(), False, True, need=1.0, top=m.start() <= first)
 
     def at(self, start: int, cue: bool, head: bool, need: float, top: bool = False) -> Iterator[tuple[int, int, str, str]]:
         end = self.turned(start, cue)
@@ -748,13 +748,14 @@ def _unlabelled(text: str, start: int, any_case: bool) -> Iterator[tuple[int, in
 # --- all kinds --------------------------------------------------------------------------------------------------------
 
 _SWAPPED = re.compile(r"(?<![^\W_])[a-zà-ÿ][A-ZÀ-Ý]{2,}")
+_TURN = re.compile(r"[A-ZÀ-Ý](?<=[a-zà-ÿ][A-ZÀ-Ý])[A-ZÀ-Ý]")
 _NORMAL = re.compile(r"(?<![^\W_])[A-ZÀ-Ý][a-zà-ÿ]{2,}")
 _CHUNK = re.compile(r"[^\n|•·]+?(?=[\n|•·]|\s{2}|(?<=[.!?;:]) |\Z)")
 
 
 def unswapped(text: str) -> str:
     """The text with the case of those parts turned round in which words begin small and go on in capitals."""
-    if not _SWAPPED.search(text):
+    if not _TURN.search(text) or not _SWAPPED.search(text):
         return text
 
     parts = list(_CHUNK.finditer(text))
