@@ -92,6 +92,11 @@ def _clean_extracted() -> str:
     return strip(sub(sub(x, r"[ \t]{3,}", " "), r"\n{4,}", "\n\n\n"))
 
 
+#: Bytes as UTF-8 if they are, else one sign a byte.
+_DECODED = "coalesce(TRY(decode(content)), array_to_string(list_transform(range(1, octet_length(content) + 1), lambda i: chr(CAST('0x' || hex(content[i:i]) AS INT))), ''))"
+text_files = f"""WITH f AS (SELECT DISTINCT resume_id, path, content FROM resume_file WHERE NOT regexp_matches(lower(path), '\\.(pdf|docx|jpg|jpeg|png|webp|tiff|bmp)$')),
+    d AS (SELECT resume_id, path, coalesce({_DECODED}, '') AS text FROM f), t AS (SELECT resume_id, path, {_clean_extracted()} AS text FROM d)
+    SELECT resume_id, path, text, CASE WHEN text <> '' THEN 'ok' ELSE 'empty: File is empty.' END AS status FROM t"""
 extracted_text_cleaned = f"SELECT doc_id, {_clean_extracted()} AS text FROM documents"
 
 

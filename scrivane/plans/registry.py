@@ -624,6 +624,13 @@ def files_extracted(spark, folder):
     return files.extracted(table(spark, folder, "resume_file").dropDuplicates(["resume_id", "path"])).select("resume_id", "path", "kind", "text", "status")
 
 
+@query(xs.text_files)
+def text_files(spark, folder):
+    """Files that are plain text, decoded and repaired."""
+    rows = table(spark, folder, "resume_file").select("resume_id", "path", "content").distinct()
+    return files.extracted(rows.where(files.file_kind(F.col("path")) == "text")).select("resume_id", "path", "text", "status")
+
+
 @query()
 def samples_analyzed(spark, folder):
     """The sample texts through the whole analysis, with the dictionary of the data folder."""
