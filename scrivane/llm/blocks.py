@@ -79,13 +79,18 @@ def buckets_for(records: DataFrame) -> int:
     return max(shuffle_width(records.sparkSession), -(-postings * (PACKED.itemsize + RECORD.itemsize) // BUCKET_BYTES))
 
 
-def labels_for(spark: SparkSession, width: int) -> np.ndarray:
-    """Numbers of ``width`` buckets that Spark's hash deals evenly over the shuffle partitions."""
+def labels_for(spark: SparkSession, width: int) -> np.ndarray | None:
+    """Numbers of ``width`` buckets that Spark's hash deals evenly over the shuffle partitions.
+
+    None, which is the buckets' own numbers, where a partition gets more than 16 of them: chance then deals evenly enough.
+    """
     partitions = shuffle_width(spark, 1)
     each = -(-width // partitions)
+    if each > 16:
+        return None
     dealt: dict[int, list[int]] = {p: [] for p in range(partitions)}
-    rows = spark.range(40 * each * partitions).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(partitions)).alias("p"))
-    for k, p in rows.toPandas().itertuples(index=False):  # 40 numbers a bucket
+    rows = spark.range(partitions * (3 * each + 40)).select(F.col("id").cast("int").alias("k")).select("k", F.pmod(F.hash("k"), F.lit(partitions)).alias("p"))
+    for k, p in rows.toPandas().itertuples(index=False):  # at most 88 numbers a partition
         if len(dealt[p]) < each:
             dealt[p].append(k)
     return np.array([k for level in range(each) for p in range(partitions) for k in dealt[p][level : level + 1]][:width], dtype=np.int32)
@@ -117,13 +122,14 @@ def _spread(x: np.ndarray) -> np.ndarray:
 def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
     """(bucket, blob): all postings of an input batch, with their records, that belong to one hash bucket of tokens."""
     labels = labels_for(df.sparkSession, width)
+    count = width if labels is None else len(labels)
 
     def part(batches):
         for batch in (b.slice(at, _BATCH) for b in batches for at in range(0, b.num_rows, _BATCH)):
             records, rows = postings_of(batch)
             if not len(rows):
                 continue
-            bucket = (_spread(rows["t"]) % np.uint64(len(labels))).astype(np.int64)
+            bucket = (_spread(rows["t"]) % np.uint64(count)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -135,7 +141,7 @@ def pack(df: DataFrame, postings_of: Callable[[pa.RecordBatch], tuple[np.ndarray
                 some["t"], some["u"], some["r"] = own["t"] >> np.uint64(32), (own["t"] >> np.uint64(16)) & np.uint64(0xFFFF), place
                 some["p"] = own["p"] | (own["side"].astype(np.uint32) << np.uint32(30))
                 blobs.append(np.uint32(len(used)).tobytes() + records[used].tobytes() + some.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(labels[bucket[starts]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32) if labels is None else labels[bucket[starts]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return df.mapInArrow(part, "bucket int, blob binary")
 

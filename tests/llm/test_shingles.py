@@ -185,6 +185,18 @@ def test_clusters_of_revisions_and_lists_in_parts(spark, monkeypatch, longest):
     assert held == {i: sum(i in p for p in cross) for i, _ in rows if i % 3 == 0 and any(i in p for p in cross)}
 
 
+def test_buckets_are_dealt_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from scrivane.llm.blocks import labels_for
+
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    labels = labels_for(spark, 3 * partitions).tolist()
+    assert len(set(labels)) == 3 * partitions and labels_for(spark, 17 * partitions) is None
+    rows = spark.createDataFrame([(k,) for k in labels], "k int").groupBy(F.pmod(F.hash("k"), F.lit(partitions))).count().collect()
+    assert [r["count"] for r in rows] == [3] * partitions
+
+
 def test_lowered_threshold_covers_followers():
     sim = Jaccard()
     low = neardup.lowered(sim)
