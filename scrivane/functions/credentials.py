@@ -108,7 +108,8 @@ def is_certificate(x: Column) -> Column:
 
 def certifications(text: Column, part: Column) -> Column:
     """Listed patterns in the section, or in the whole text without one; else the section's lines that qualify."""
-    named = F.regexp_extract_all(F.when(part != "", part).otherwise(text), F.lit(_LINES + "(?i)" + "|".join(lx.CERTIFICATES)), F.lit(0))
+    source = F.when(part != "", part).otherwise(text)
+    named = F.when(source.rlike("(?i)" + lx.CERTIFICATE_SIGNS), F.regexp_extract_all(source, F.lit(_LINES + "(?i)" + "|".join(lx.CERTIFICATES)), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = unique(F.filter(F.transform(named, lambda m: strip(F.regexp_replace(strip(m), r"^[\-*+\s\t©®™•▪►◆]+", ""))), is_certificate))
     lines = F.filter(F.transform(F.split(part, "\n"), lambda x: strip(F.regexp_replace(strip(x), r"^[©®™•\-*+\s]+", ""))), is_certificate)
     return let(found, lambda f: F.slice(F.when(F.size(f) > 0, f).otherwise(unique(lines)), 1, MOST_LISTED))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrivane.functions import lexicon
-from scrivane.functions.text import strip
+from scrivane.functions.text import SPACE, strip
 
 EMPTY_ARRAY = "array<string>"
 #: A statistical recogniser as an optional part: (text, "PERSON", "PLACE" or "FIRM") -> the first such entity, or null.
@@ -68,11 +68,11 @@ def split_items(text: Column) -> Column:
 
 
 def email(text: Column) -> Column:
-    closed = F.regexp_replace(text, lexicon.EMAIL_GAPS, "$1@$2")
+    closed = F.when(text.rlike("[@©®]"), F.regexp_replace(text, lexicon.EMAIL_GAPS, "$1@$2")).otherwise(text)  # most of a text's work is saved where it has no sign
     found = F.lower(first_match(F.regexp_replace(closed, r"\s*\.\s*", "."), lexicon.EMAIL))
     found = F.regexp_replace(F.regexp_replace(found, lexicon.MISREAD_HOST + r"\.(?:com|con)", "@gmail.com"), lexicon.MISREAD_HOST + "$", "@gmail.com")
     user, host = (F.lower(strip(F.regexp_extract(text, lexicon.NOISY_EMAIL, k))) for k in (1, 2))
-    guess = F.when(user == "", None).when(host.rlike(lexicon.KNOWN_HOSTS), F.concat(user, F.lit("@gmail.com"))).when(F.contains(host, F.lit(".")), F.concat(user, F.lit("@"), host))
+    guess = F.when(~text.rlike("(?i)" + lexicon.NOISY_HOSTS) | (user == ""), None).when(host.rlike(lexicon.KNOWN_HOSTS), F.concat(user, F.lit("@gmail.com"))).when(F.contains(host, F.lit(".")), F.concat(user, F.lit("@"), host))
     return F.coalesce(found, guess)
 
 
@@ -107,7 +107,8 @@ def name(text: Column, skills: Sequence[str] = (), recogniser: Recogniser | None
     The last step wants four signs or more. ``recogniser`` sees the first eight lines, 800 signs at most.
     """
     # the leading lines are cut off first: a text may have many
-    head = F.slice(F.filter(lines_of(text), lambda x: strip(x) != ""), 1, 8)
+    leading = F.regexp_extract(text, rf"\A(?:[{SPACE}]*+[^{SPACE}][^\n]*+(?:\n|\z)){{0,8}}", 0)
+    head = F.filter(lines_of(leading), lambda x: strip(x) != "")
     lines = F.transform(head, lambda x: strip(F.regexp_replace(x, "^[^a-zA-Z]+", "")))
     valid = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda v: _is_name(v["x"], skills) & ((v["i"] < 5) | (F.length(v["x"]) >= 4)))
     person = recogniser(F.substring(F.array_join(head, "\n"), 1, 800), "PERSON") if recogniser else F.lit(None).cast("string")

@@ -115,6 +115,8 @@ CERTIFICATES = (
     r"\b(?:Machine\s+Learning\s+with\s+Python|Introduction\s+to\s+AI|Responsive\s+Web\s+Design|UI/UX\s+Design(?:\s+Basics)?|Git\s*&\s*GitHub(?:\s+Fundamentals)?|[A-Z][a-zA-Z0-9\s\&\.\-]{3,40}\s*-\s*(?:Coursera|Udemy|freeCodeCamp|edX|IBM|Google|Microsoft))\b[^\n]*",
     r"\b(?:Certified|Certificate(?:\s+in)?|Certification(?:\s+in)?|AWS\s+Certified|PMP|CPA|CISSP|CEH|CompTIA|Oracle|Microsoft|Google|Cisco)\b[^\n]{0,80}",
 )
+#: What any match of the certificate patterns contains.
+CERTIFICATE_SIGNS = "certif|coursera|udemy|freecodecamp|edx|ibm|google|microsoft|cisco|oracle|comptia|aws|pmp|cpa|cissp|ceh|github|ui/ux|responsive|introduction|machine"
 #: Contact details and scanning noise that no certificate contains.
 NOT_IN_CERTIFICATES = r"\b(?:contact|http|www|linkedin|github|gralicon|gralcon|gmail|\.com|trees)\b"
 CERTIFICATE_NOISE = frozenset((
@@ -153,6 +155,8 @@ EMAIL = r"[\w.+\-]+@[\w.\-]+\.[a-zA-Z]{2,6}"
 EMAIL_GAPS = r"(\w+)\s*[@©®]\s*([\w\-]+(?:\s*\.\s*[a-zA-Z]{2,6})+)"
 MISREAD_HOST = "@g(?:mai1|mall|maii|natcon|ralicaon|malicon|ralcon)"
 NOISY_EMAIL = r"(?i)([a-zA-Z0-9_\.\+\-]{3,35})\s*[@©®S\d\s]{1,5}\s*([a-zA-Z0-9_\.\-]{0,25}(?:gralicon|gralcon|gnaticom|gmalicon|gmail|yahoo|hotmail|outlook|com)(?:\.[a-zA-Z]{2,6})?)"
+#: What any match of the noisy pattern contains.
+NOISY_HOSTS = "gralicon|gralcon|gnaticom|gmalicon|gmail|yahoo|hotmail|outlook|com"
 KNOWN_HOSTS = "gmail|yahoo|hotmail|outlook|gralicon|gralcon|gmalicon|gnatcon|gnaticom"
 NATIONAL_PHONE = r"(?:\+?977[\s\-]?)?(?:98\d{8}|97\d{8}|01\d{7})\b"
 ANY_PHONE = r"(?:\+?\d{1,3}[\s\-\(\)]?)?\(?\d{2,4}\)?[\s\-\.]?\d{2,4}[\s\-\.]?\d{2,6}(?:\s?(?:#|x\.?|ext\.?|extension)\s?\d{1,5})?"
