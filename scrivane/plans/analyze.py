@@ -65,7 +65,18 @@ def analyzed(
     return out.withColumn("recommendation", F.when(gate == "ok", rec))
 
 
-def export(analysis: DataFrame, key: str = "id") -> DataFrame:
-    """One JSON document per row; a confidence is rounded to four places."""
-    columns = [F.round("confidence", 4).alias(c) if c == "confidence" else F.col(c) for c in analysis.columns if c != key]
-    return analysis.select(key, F.to_json(F.struct(*columns)).alias("json"))
+PROFILE = ("name", "email", "phone", "location", "links", "skills", "degrees", "universities", "job_titles", "organizations", "experience_entries", "certifications", "languages")
+
+
+def export(analysis: DataFrame, key: str = "id", source: str = "input_source") -> DataFrame:
+    """One JSON document per row: gate, predicted category, confidence (four places), profile, source and recommendations.
+
+    An analysis without a predictor exports its category; what a row lacks is left out.
+    """
+    has = set(analysis.columns)
+    parts = [F.col("gate_status"), F.col("predicted_category" if "predicted_category" in has else "category").alias("predicted_category")]
+    if "confidence" in has:
+        parts += [F.round("confidence", 4).alias("confidence_score"), F.col("top_3"), F.col("prediction_error")]
+    profile = F.when(F.col("gate_status") == "ok", F.struct(*(c for c in PROFILE if c in has)))
+    parts += [profile.alias("candidate_profile"), *([F.col(source).alias("input_source")] if source in has else []), F.col("recommendation").alias("recommendations")]
+    return analysis.select(key, F.to_json(F.struct(*parts)).alias("json"))

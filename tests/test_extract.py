@@ -152,3 +152,21 @@ def test_the_gate_stops_before_extraction(spark):
     assert rows[1].gate_status == "ok" and rows[1].email == "jane@roe.org" and rows[1].recommendation.category == "HR"
     assert rows[2].gate_status == "low_quality" and rows[2].email is None and rows[2].recommendation is None
     assert rows[3].gate_status == "blank"
+
+
+def test_export_is_one_document_a_row(spark):
+    import json
+
+    good = "Jane Roe\njane@roe.org\nSkills\nPython and data tools for the kitchen manager who has profile and summary experience of many years in teams"
+    df = spark.createDataFrame([(1, good, "HR", "file"), (2, "x1", "HR", "paste")], "id long, resume_str string, category string, input_source string")
+
+    def predict(docs, column):
+        top = F.array(F.struct(F.lit("CHEF").alias("label"), F.lit(0.98765432).alias("prob")))
+        return docs.select("*", F.lit("CHEF").alias("predicted_category"), F.lit(0.98765432).alias("confidence"), top.alias("top_3"), top.alias("other_categories"), F.lit(None).cast("string").alias("prediction_error"))
+
+    rows = {r.id: json.loads(r.json) for r in analyze.export(analyze.analyzed(df, SKILLS, source="input_source", predict=predict)).collect()}
+    assert (rows[1]["predicted_category"], rows[1]["confidence_score"], rows[1]["input_source"]) == ("CHEF", 0.9877, "file")
+    assert rows[1]["candidate_profile"]["email"] == "jane@roe.org" and rows[1]["recommendations"]["category"] == "CHEF"
+    assert rows[2] == {"gate_status": "low_quality", "input_source": "paste"}
+    plain = {r.id: json.loads(r.json) for r in analyze.export(analyze.analyzed(df, SKILLS)).collect()}
+    assert plain[1]["predicted_category"] == "HR" and "input_source" not in plain[1]
