@@ -61,7 +61,8 @@ def shuffle_width(spark: SparkSession, least: int = 12) -> int:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash rows of a few-file input over all cores before costly per-row work.
 
-    An input that already has a partition for every core, as any large table has, is left alone: nothing is shuffled.
+    An input that already has two partitions for every core, as any large table has, is left alone: nothing is shuffled.
+    (Splits of a file that hold no whole row group are empty, so fewer partitions than that may keep few cores busy.)
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < 2 * cores else df
