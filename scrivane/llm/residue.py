@@ -1,8 +1,10 @@
 """Problem 8: unfilled template fields, filler text, error pages and scripts-required notices.
 
 Method. Labelled residue exemplars are held in an inverted index (term -> exemplars). Term weights are inverse document
-frequencies in ordinary text (``BACKGROUND``), fixed, so that no group of copies in a table moves them and a table of one
-row is judged like any other. A document's passages - windows of words, template-like spans with their neighbours,
+frequencies in ordinary text, counted in all rows of the table. A first pass sets aside the texts that could be residue
+under some weights (most could not) and counts the terms of all others, and of those set aside that are no residue under
+``BACKGROUND``; so no group of copies of residue moves the weights. ``BACKGROUND`` counts as 1,000 texts more, so that a table
+of one row is judged like any other. The texts set aside are then judged under these weights. A document's passages - windows of words, template-like spans with their neighbours,
 and the document as a whole - retrieve exemplars through the index and are scored by TF-IDF containment, the share of
 a passage's weight that the retrieved exemplars hold:
 
@@ -23,14 +25,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.runtime import ship, spread
+from scrivane.runtime import cut, ship, spread
 
 WINDOW = 6
 FILLER_SHARE = 0.9
@@ -120,7 +123,7 @@ _SIGNS = ("{{", "{%", "${", "[[", "<<", "@@", "##", "*|", "__")
 _RARE_SIGNS = re.compile(r"%[A-Za-z]|[Ii][Nn][Ss][Ee][Rr][Tt] ")
 
 
-#: Fixed document frequencies in 1,000 ordinary texts, measured on 8,801 without residue; other terms are in fewer than one.
+#: Document frequencies in 1,000 ordinary texts, to which those of the table are added; other terms are in fewer than one.
 BACKGROUND = {
     term: docs
     for docs, terms in {
@@ -149,7 +152,7 @@ _BREAK = re.compile(r"[.!?;:|•\n\r]")
 class Index:
     """Inverted index of the exemplars, with term weights from document frequencies."""
 
-    def __init__(self, frequencies: dict[str, int], documents: int):
+    def __init__(self, frequencies: dict[str, float], documents: int):
         self.weight = {t: math.log((documents + 1) / (frequencies.get(t, 0) + 1)) + 1 for t in frequencies}
         self.default = math.log(documents + 1) + 1
         self.exemplars: list[tuple[str, frozenset[str], float]] = []
@@ -215,14 +218,19 @@ def _words(text: str) -> list[str]:
     return ["#" if t[0].isdigit() else t for t in TOKEN.findall(text.lower())]
 
 
-def has_filler(words: list[str], index: Index) -> bool:
-    known = np.fromiter((w in index.filler_terms for w in words), dtype=bool, count=len(words))
-    if len(words) < 2 or not known.any():
-        return False
+def _windows(words: list[str], index: Index) -> list[list[str]]:
+    """The windows of filler words but for one at most."""
+    if len(words) < 2 or index.filler_terms.isdisjoint(words):
+        return []
+    known = np.fromiter(map(index.filler_terms.__contains__, words), dtype=bool, count=len(words))
     size = min(WINDOW, len(words))
     dense = np.convolve(known, np.ones(size, dtype=int), "valid")
-    for at in np.flatnonzero(dense >= size - 1).tolist():
-        window = words[at : at + size]
+    return [words[at : at + size] for at in np.flatnonzero(dense >= size - 1).tolist()]
+
+
+def has_filler(words: list[str], index: Index) -> bool:
+    for window in _windows(words, index):
+        size = len(window)
         if index.best(window, "filler") >= FILLER_SHARE and sum(index.of(w) for w in window) >= 3.0 * size:
             return True
     return False
@@ -247,19 +255,24 @@ def has_phrase(text: str, words: list[str], index: Index) -> bool:
     return False
 
 
+def _spans(text: str) -> Iterator[tuple[re.Match, list[str]]]:
+    """Delimited spans that may be fields, and their words."""
+    spans = [(m, True) for m in STRONG_SPAN.finditer(text)] if any(x in text for x in _SIGNS) or _RARE_SIGNS.search(text) else []
+    spans += [(m, False) for m in WEAK_SPAN.finditer(text)]
+    for m, strong in spans:
+        span = m.group(0)
+        passage = [DELIMITER] * strong + _words(span.replace("_", " ").replace("&lt;", " ").replace("&gt;", " "))
+        if strong or (passage and (span[0] not in "(" or any(a in " ".join(passage) for a in ASKS)) and not (span[0] in "<{" and span[1:2] == "/")):
+            yield m, passage
+
+
 def has_field(text: str, index: Index) -> bool:
     def mentioned(start: int, end: int) -> bool:
         around = _words(text[max(0, start - 70) : start])[-7:] + _words(text[end : end + 50])[:5]
         known = {t for t in around if t in index.mention_terms}
         return len(known) >= 4 and index.best(around, "mention") >= 0.6
 
-    spans = [(m, True) for m in STRONG_SPAN.finditer(text)] if any(x in text for x in _SIGNS) or _RARE_SIGNS.search(text) else []
-    spans += [(m, False) for m in WEAK_SPAN.finditer(text)]
-    for m, strong in spans:
-        span = m.group(0)
-        passage = [DELIMITER] * strong + _words(span.replace("_", " ").replace("&lt;", " ").replace("&gt;", " "))
-        if not strong and (not passage or (span[0] in "(" and not any(a in " ".join(passage) for a in ASKS)) or (span[0] in "<{" and span[1:2] == "/")):
-            continue
+    for m, passage in _spans(text):
         if index.share(passage, index.retrieved(frozenset(passage), ("field",), 1.0)[0]) >= FIELD_SHARE and not mentioned(m.start(), m.end()):
             return True
     return False
@@ -275,6 +288,17 @@ def is_page(words: list[str], index: Index) -> bool:
     return bool(labels & {"error", "notice"}) and index.share(words, union) >= RETRIEVED_SHARE
 
 
+def possible(text: str, words: list[str], index: Index) -> bool:
+    """Whether a text could be residue under some weights.
+
+    Words that no exemplar has weigh most, so a page's share by weight is at most its share by number of words.
+    """
+    present = frozenset(words)
+    if any(terms <= present for terms, _, _ in index.phrases) or next(_spans(text), None) or _windows(words, index):
+        return True
+    return not index.page_terms.isdisjoint(present) and sum(map(index.page_vocabulary.__contains__, words)) >= (PAGE_SHARE - 1e-9) * len(words)
+
+
 def label(text: str | None, index: Index) -> str | None:
     """field, filler, page, or null for a real text."""
     if text is None or not text.strip():
@@ -296,12 +320,46 @@ def background() -> Index:
     return Index({t: BACKGROUND.get(t, 0) for t in exemplar_terms()}, BACKGROUND_TEXTS)
 
 
+def counted(frequencies: dict[str, int], documents: int) -> Index:
+    """The index under frequencies of the table's ordinary texts and those of ``BACKGROUND``, in 1,000 texts."""
+    scale = BACKGROUND_TEXTS / (documents + BACKGROUND_TEXTS)
+    return Index({t: (frequencies.get(t, 0) + BACKGROUND.get(t, 0)) * scale for t in exemplar_terms()}, BACKGROUND_TEXTS)
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n): the texts that could be residue, n null; and, id null, each task's counts by term, of all texts under ''."""
+    shared = docs.sparkSession.sparkContext.broadcast(background())  # some hundred terms
+
+    def scan(batches):
+        index, counts = shared.value, Counter()
+        terms = frozenset(exemplar_terms())
+        names = ["doc_id", "text", "n"]
+        for batch in batches:
+            ids, texts = [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if not text.strip():
+                    continue
+                words = _words(text)
+                if possible(text, words, index):
+                    ids.append(i)
+                    texts.append(text)
+                    if label(text, index):
+                        continue
+                counts[""] += 1
+                counts.update(terms.intersection(words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.nulls(len(ids), pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.int64()), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names)
+
+    return docs.mapInArrow(scan, "doc_id long, text string, n long")
+
+
 def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, kind) of the documents with residue, one row each."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     ship(docs.sparkSession)
-    docs = spread(docs, "doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(background())  # some hundred terms
+    scanned = cut(_scanned(spread(docs, "doc_id")))
+    totals = {r.text: r.n for r in scanned.where("n is not null").groupBy("text").agg(F.sum("n").alias("n")).collect()}  # the exemplars' terms
+    shared = docs.sparkSession.sparkContext.broadcast(counted(totals, totals.get("", 0)))  # some hundred terms
 
     def detect(batches):
         for batch in batches:
@@ -314,7 +372,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds)], ["doc_id", "kind"])
 
-    return docs.mapInArrow(detect, "doc_id long, kind string").dropDuplicates(["doc_id"])
+    return scanned.where("n is null").select("doc_id", "text").mapInArrow(detect, "doc_id long, kind string").dropDuplicates(["doc_id"])
 
 
 def without_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
